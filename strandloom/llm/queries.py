@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import plain, plain_sql
 from ..operators.latest import latest, latest_sql
 from ..sources.tables import table
-from . import fixed_sample, proportions, quantile_sketch, stable_sample, survivors
+from . import fixed_sample, leakage, packing, proportions, quantile_sketch, residue, stable_sample, survivors
 from .hashing import random_key_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,3 +260,67 @@ def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     scopes = F.array(F.lit("all"), F.concat(F.lit("batch "), batch), F.concat(F.lit("window "), window))
     sketches = snvq_sketches(spark, folder).select(F.explode(scopes).alias("scope"), "x_prev1", "x_next1", "bucket", "n")
     return quantile_sketch.percentiles(sketches, ["scope", "x_prev1", "x_next1"], SHARES, ERROR)
+
+
+# --- Problem 8: containers ----------------------------------------------------------------
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query()
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder).where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
+
+
+@query()
+def p8_assignment(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)
+
+
+@query()
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    used = F.sum("n_tokens").alias("n_tokens")
+    filled = _packed(spark, folder).where(F.col("container").isNotNull()).groupBy("container").agg(F.count(F.lit(1)).alias("n_pieces"), used)
+    return filled.withColumn("left_over", packing.CAPACITY - F.col("n_tokens"))
+
+
+# --- Problem 9: leaked evaluation texts ---------------------------------------------------
+
+
+def _leaked(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "benchmark")
+    return leakage.leaked(table(spark, folder, "documents"), "doc_id", "text", items, "item_id", "text")
+
+
+@query()
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaked(spark, folder).select("item_id", "doc_id")
+
+
+@query()
+def p9_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each leaked item with its documents and the closest and longest passage."""
+    pairs = _leaked(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("n_words").alias("n_words"), F.min("edits").alias("edits"))
+    return pairs.join(table(spark, folder, "benchmark").select("item_id", "suite"), "item_id")
+
+
+# --- Problem 10: residue ------------------------------------------------------------------
+
+
+@query()
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "documents"), "doc_id", "text").select("doc_id").distinct()
+
+
+@query()
+def p10_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query()
+def p10_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """All mined templates, each classified once."""
+    rows = residue.mined(table(spark, folder, "documents"), "doc_id", "text", everything=True)
+    return residue.templates(rows).groupBy("merged", "verdict").agg(F.sum("n").alias("n_segments"))
