@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import plain, plain_sql
 from ..operators.latest import latest, latest_sql
 from ..sources.tables import table
-from . import fixed_sample, leakage, packing, proportions, quantile_sketch, residue, stable_sample, survivors
+from . import fixed_sample, leakage, neighbours, packing, proportions, quantile_sketch, residue, stable_sample, survivors
 from .hashing import random_key_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -324,3 +324,36 @@ def p10_templates(spark: SparkSession, folder: str) -> DataFrame:
     """All mined templates, each classified once."""
     rows = residue.mined(table(spark, folder, "documents"), "doc_id", "text", everything=True)
     return residue.templates(rows).groupBy("merged", "verdict").agg(F.sum("n").alias("n_segments"))
+
+
+# --- Problem 7: nearest records -----------------------------------------------------------
+
+MAP = ["umap_1", "umap_2"]
+
+
+def _neighbours(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    return neighbours.nearest_vectors(table(spark, folder, "analysis"), "run_id", "row_index", MAP, k)
+
+
+_KNN_SQL = """
+    SELECT a.run_id, a.row_index, b.row_index AS neighbour, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d,
+           row_number() OVER (PARTITION BY a.run_id, a.row_index ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.row_index) AS rank
+    FROM p a JOIN p b ON a.run_id = b.run_id AND a.row_index <> b.row_index"""
+_POINTS_SQL = """p AS (SELECT DISTINCT run_id, row_index, CAST(umap_1 AS DOUBLE) AS x, CAST(umap_2 AS DOUBLE) AS y FROM analysis
+    WHERE umap_1 IS NOT NULL AND umap_2 IS NOT NULL AND NOT isnan(umap_1) AND NOT isnan(umap_2) AND row_index IS NOT NULL AND run_id IS NOT NULL)"""
+
+
+@query(f"""WITH {_POINTS_SQL}, n AS (SELECT * FROM ({_KNN_SQL}) WHERE rank <= 3)
+    SELECT a.row_index AS row_a, a.neighbour AS row_b FROM n a JOIN n b
+    ON a.run_id = b.run_id AND a.row_index = b.neighbour AND a.neighbour = b.row_index WHERE a.row_index < a.neighbour""")
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = _neighbours(spark, folder, 3)
+    pair = [F.least("row_index", "neighbour").alias("row_a"), F.greatest("row_index", "neighbour").alias("row_b")]
+    both = near.select("run_id", *pair).groupBy("run_id", "row_a", "row_b").count().where(F.col("count") == 2)
+    return both.select("row_a", "row_b")
+
+
+@query(f"WITH {_POINTS_SQL} SELECT run_id, row_index, CAST(rank AS INT) AS rank, neighbour, round(sqrt(d), 6) AS distance FROM ({_KNN_SQL}) WHERE rank <= 10")
+def p7_nearest_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest records of each, as trustworthiness presupposes."""
+    return _neighbours(spark, folder, 10).withColumn("distance", F.round("distance", 6))
