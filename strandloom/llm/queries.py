@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import plain, plain_sql
 from ..operators.latest import latest, latest_sql
 from ..sources.tables import table
-from . import fixed_sample, leakage, neighbours, packing, proportions, quantile_sketch, residue, stable_sample, survivors
+from . import clusters, fixed_sample, leakage, neighbours, packing, proportions, quantile_sketch, residue, stable_sample, survivors
 from .hashing import random_key_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -357,3 +357,27 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def p7_nearest_records(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest records of each, as trustworthiness presupposes."""
     return _neighbours(spark, folder, 10).withColumn("distance", F.round("distance", 6))
+
+
+# --- Problem 3: similarity groups ---------------------------------------------------------
+
+REACH = 0.2
+LEAST_MEMBERS = 5
+TYPICAL = 5
+
+
+def _groups(spark: SparkSession, folder: str) -> clusters.Clustering:
+    return clusters.similarity_groups(table(spark, folder, "analysis"), "run_id", "row_index", *MAP, REACH, LEAST_MEMBERS)
+
+
+@query()
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The smallest id of a group is that of its smallest cell, which names the group."""
+    members = _groups(spark, folder).members
+    return members.where(F.col("id") != F.col("cluster")).select(F.col("cluster").alias("row_a"), F.col("id").alias("row_b"))
+
+
+@query()
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Each group with its size and most typical members."""
+    return clusters.typical(_groups(spark, folder), TYPICAL).withColumnsRenamed({"grp": "run_id", "cluster": "first_row"})
