@@ -1,4 +1,4 @@
 """Every query over the tables of a folder, except those of the training-data operators."""
 
-from . import records, stability, variants  # noqa: F401
+from . import models, records, stability, variants  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
