@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .labelled import cluster_predicate, join_keys
 from .unions import or_null
@@ -39,7 +40,7 @@ def export_rows(source: DataFrame, labels: DataFrame, predicate: str | None = No
     return source.join(own, keys)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def six_digits(values: pd.Series) -> pd.Series:
     """FN-06: ``%.6g``; null for null and NaN."""
     return values.map(lambda v: None if pd.isna(v) else f"{v:.6g}").astype(object)
