@@ -20,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import partitions
+
 HALF_BITS = 5
 BLOCK = 1 << (2 * HALF_BITS)
 ROUNDS = 6
 _WORDS = BLOCK // 64
 #: Blocks that one row of the block list expands to.
-_SPREAD = 1024
+_SPREAD = 64
 
 
 def _round(half: str, key: str) -> str:
@@ -87,8 +89,12 @@ def stable_sample(df: DataFrame, number: str, seeds: DataFrame, chosen: int) ->
     runs = seeds.select("seed").where(F.col("seed").isNotNull()).distinct()
     starts = F.filter(F.sequence(F.lit(first), F.lit(max(first, last)), F.lit(_SPREAD)), lambda b: b <= last)
     pairs = runs.select("seed", F.explode(starts).alias("_start"))
+    # Few seeds lie in few tasks: spread them, and compute the positions there, before the join.
+    pairs = pairs.repartition(partitions(df.sparkSession), "seed", "_start")
     pairs = pairs.select("seed", F.explode(F.sequence(F.col("_start"), F.least(F.col("_start") + _SPREAD - 1, F.lit(last)))).alias("block"))
     digest = F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("block").cast("string")))
-    drawn = pairs.join(blocks, "block").select("seed", "block", "filled", F.explode(positions(digest, chosen)).alias("position"))
+    drawn = pairs.withColumn("positions", positions(digest, chosen))
+    # Far more pairs than the planner expects of so few seeds; it must not broadcast them.
+    drawn = drawn.join(blocks.hint("shuffle_hash"), "block").select("seed", "block", "filled", F.explode_outer("positions").alias("position"))
     there = F.getbit(F.element_at("filled", F.shiftright("position", 6) + 1), F.col("position") % 64) == 1
     return drawn.where(there).select("seed", (F.col("block") * BLOCK + F.col("position")).alias(number))
