@@ -56,10 +56,11 @@ def cutoff(ids: DataFrame, id_column: str, size: int, population: int, seed: int
 
 def inside(id_column: str, seed: int, last: tuple[int, int] | None):
     """The condition that a record belongs to the sample ending at ``last``."""
+    known = F.col(id_column).isNotNull()
     if last is None:
-        return F.col(id_column).isNotNull()
+        return known
     key = random_key(seed, F.col(id_column))
-    return (key < last[0]) | ((key == last[0]) & (F.col(id_column) <= last[1]))
+    return known & ((key < last[0]) | ((key == last[0]) & (F.col(id_column) <= last[1])))
 
 
 def fixed_size_sample(df: DataFrame, id_column: str, size: int, seed: int, newest: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
