@@ -26,12 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .texts import words
 
 PASSAGE = 24
 ONE_IN = 8
 BUDGET = PASSAGE // ONE_IN
 PIECE = PASSAGE // (BUDGET + 1)
+#: Least words in runs among some PASSAGE words of a passage of any length.
+IN_RUNS = PASSAGE - 10
 BLOCK_WORDS = 2_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,9 +128,19 @@ class Items:
         padded = np.zeros(length + 2 * slack, np.int64)
         a, b = max(0, low), min(len(document), low + len(padded))
         padded[a - low : b - low] = document[a:b]
-        same = (np.lib.stride_tricks.sliding_window_view(padded, length) == item).any(axis=0)
+        hits = np.lib.stride_tricks.sliding_window_view(padded, length) == item
+        same = hits.any(axis=0)
         if same.sum() < PASSAGE - BUDGET:
             return None
+        # A passage is at most one run more than it has edits, so few of its words match
+        # without a neighbour: some PASSAGE words of it hold IN_RUNS that do.
+        pair = hits[:, 1:] & hits[:, :-1]
+        run = np.zeros(length, bool)
+        run[1:] |= pair.any(axis=0)
+        run[:-1] |= pair.any(axis=0)
+        held = np.concatenate([[0], np.cumsum(run)])
+        if (held[PASSAGE:] - held[:-PASSAGE]).max() < IN_RUNS:
+            return None
         upto = np.concatenate([[0], np.cumsum(~same)])
         missing = upto[None, :] - upto[:, None]
         size = np.arange(length + 1)[None, :] - np.arange(length + 1)[:, None]
@@ -160,7 +173,7 @@ def leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key
     """``item_key``, ``key``, ``first_word``, ``n_words`` and ``edits`` of one leaked passage per pair."""
     pairs = None
     schema = f"{item_key} bigint, {key} bigint, first_word int, n_words int, edits int"
-    rows = documents.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    rows = spread(documents.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull()))
     for block in _blocks(items, item_key, item_text):
         sent = documents.sparkSession.sparkContext.broadcast(block)
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 CAPACITY = 2_048
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -102,7 +102,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, ranks: str = RANKS) -> DataFrame:
     """``key``, ``piece``, ``n_pieces``, ``from_token``, ``n_tokens``, ``container``."""
     spark = df.sparkSession
-    counted = cut_lineage(token_counts(df.select(F.col(key), F.col(text).alias("_text")), "_text", ranks).select(key, "n_tokens"))
+    counted = cut_lineage(token_counts(spread(df.select(F.col(key), F.col(text).alias("_text"))), "_text", ranks).select(key, "n_tokens"))
     pieces = F.greatest(F.ceil(F.col("n_tokens") / capacity), F.lit(1)).cast("int")
     items = counted.withColumn("n_pieces", pieces).select(key, "n_pieces", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece"))
     items = items.withColumn("from_token", F.col("piece").cast("bigint") * capacity)
