@@ -126,7 +126,9 @@ def _ranked(pairs: DataFrame, key: str, k: int) -> DataFrame:
     """Per row: its k nearest ids in x and y, and the rank in x of its nearest in y and the reverse.
 
     ``pairs`` is at most a metric sample (5,000 rows by default), sent to every task once; tasks take blocks of rows."""
-    held = pairs.select(key, "x", "y").orderBy(key).collect()
+    held = pairs.select(key, "x", "y").orderBy(key).limit(METRIC_ROWS + 1).collect()
+    if len(held) > METRIC_ROWS:
+        raise ValueError(f"more than {METRIC_ROWS} rows: take metric_rows() first")
     ids = np.array([r[0] for r in held])
     sent = pairs.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in held], float), np.array([r[2] for r in held], float)))
     columns = ["near_x", "near_y", "rank_in_x", "rank_in_y"]

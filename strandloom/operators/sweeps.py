@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from math import prod
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CLOSE = 0.05
@@ -91,3 +92,21 @@ def epoch_changes(history: DataFrame, run: str, epoch: str, loss: str) -> DataFr
 def last_of_history(df: DataFrame, history: str) -> DataFrame:
     """SRC-13: the last entry of an array of epochs; none for an empty one."""
     return df.withColumn("last", F.try_element_at(F.col(history), F.lit(-1)))
+
+
+def grid(spark: SparkSession, parameters: Mapping[str, tuple[str, Sequence]]) -> DataFrame:
+    """API-12: ``task`` and one column per parameter (type, values), the last one fastest."""
+    tasks = spark.range(prod(len(values) for _, values in parameters.values())).withColumnRenamed("id", "task")
+    left, columns = F.col("task"), []
+    for name, (kind, values) in reversed(parameters.items()):
+        columns.append(F.array(*[F.lit(v) for v in values])[(left % len(values)).cast("int")].cast(kind).alias(name))
+        left = F.floor(left / len(values))
+    return tasks.select("task", *reversed(columns))
+
+
+def worst_columns(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """TOP-06: mean squared error of each (true, rebuilt) pair, worst first."""
+    gap = lambda t, p: (F.col(p) - F.col(t)).cast("double")
+    cells = [F.struct(F.lit(n).alias("feature"), F.round(F.avg(gap(*p) * gap(*p)), 6).alias("error")) for n, p in pairs.items()]
+    long = df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+    return long.withColumn("place", F.row_number().over(Window.orderBy(F.col("error").desc_nulls_last(), "feature")))  # one row per column

@@ -202,3 +202,28 @@ def throughput(spark, folder):
     """AGG-27: seconds per million rows, extrapolated from what was scored."""
     seconds = (F.unix_micros(F.max("scored_at")) - F.unix_micros(F.min("scored_at"))) / 1_000_000.0
     return table(spark, folder, "analysis").groupBy("run_id").agg(F.round(seconds / F.greatest(F.count(F.lit(1)), F.lit(1)) * 1_000_000, 3).alias("seconds_per_million"))
+
+
+#: Runs of a grid, numbered with the last parameter fastest.
+GRID_ROWS, GRID_SEEDS = (50_000, 100_000, 250_000), (1, 2, 3, 4, 5)
+
+
+@query("SELECT i AS task, ([50000, 100000, 250000])[i // 5 + 1]::BIGINT AS sample_rows, ([1, 2, 3, 4, 5])[i % 5 + 1]::INT AS data_seed FROM (SELECT unnest(range(15)) AS i)")
+def parameter_grid(spark, folder):
+    """API-12: a task's number gives its size and seed by division and remainder."""
+    return sweeps.grid(spark, {"sample_rows": ("bigint", GRID_ROWS), "data_seed": ("int", GRID_SEEDS)})
+
+
+@query(f"""SELECT feature, error, CAST(row_number() OVER (ORDER BY error DESC, feature) AS INT) AS place FROM (
+    SELECT 'smq' AS feature, round(avg(pow(smq_after - smq_before, 2)), 6) AS error FROM {observations_sql(_LOSS)} UNION ALL SELECT 'dist', round(avg(pow(hamdist - edist, 2)), 6) FROM {observations_sql(_LOSS)})""")
+def worst_columns(spark, folder):
+    """AGG-16, TOP-06: columns by their error, worst first."""
+    pairs = {"smq": ("smq_before", "smq_after"), "dist": ("edist", "hamdist")}
+    return sweeps.worst_columns(observations(spark, folder, _LOSS), pairs)
+
+
+@query("SELECT p_type AS label, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part WHERE p_type IS NOT NULL GROUP BY p_type")
+def subset_renamed(spark, folder):
+    """EXT-04, PRJ-04, FLT-09: a subset of a table under other names."""
+    rows = table(spark, folder, "part").select("p_type", "p_retailprice").where("p_type IS NOT NULL").withColumnsRenamed({"p_type": "label", "p_retailprice": "price"})
+    return rows.groupBy("label").agg(F.min("price").alias("low"), F.max("price").alias("high"))

@@ -31,8 +31,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     setting is missing (one machine, tests) is a temporary folder used.
     """
     context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="strandloom-checkpoint-"))
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandloom-checkpoint-"))
     return df.checkpoint()
 
 

@@ -69,6 +69,16 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert one != [r[0] for r in sampling.exact_sample(df, 100, 2, "id").collect()]
 
 
+def test_large_samples_need_no_order(spark, monkeypatch):
+    df = spark.range(6_000).withColumn("p", F.lit(1))
+    want = sorted(r[0] for r in sampling.exact_sample(df, 700, 1, "id").collect())
+    monkeypatch.setattr(sampling, "ORDERED", 10)
+    got = sampling.exact_sample(df.drop("p").repartition(3), 700, 1, "id")
+    assert sorted(r[0] for r in got.collect()) == want
+    twice = spark.range(1_000).union(spark.range(1_000))
+    assert sampling.exact_sample(twice, 101, 1, "id").count() == 101
+
+
 def test_splits(spark):
     assert [sampling.split_divisor(s) for s in (0.9, 0.8, 0.7, 0.1)] == [10, 5, 3, 2]
     split = sampling.ranked_split(spark.range(1_000), 0.9, 3, "id").groupBy("split").count().collect()
@@ -282,3 +292,44 @@ def test_tsv_and_json(spark, tmp_path):
     assert (row["path_rows"], row["path_epochs"], row["path_seed"]) == (500, 3, None)
     assert files.find_run("/old/rows_500_epochs_3/r.json", [str(tmp_path)]) == str(place)
     assert files.find_run("/old/none", [str(tmp_path)]) is None
+
+
+def test_stagnation_over_a_stream(spark, tmp_path):
+    from strandloom.streaming import scoring
+
+    schema = "run bigint, epoch int, loss double, units int"
+    rows = [(1, 1, 1.0, 4), (1, 2, 0.999, 4), (1, 3, 0.9985, 4), (1, 4, 0.5, 4), (2, 1, 1.0, 1)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "h"))
+    stream = scoring.stagnation_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "h")), 0.01)
+    q = stream.writeStream.format("memory").queryName("stagnation").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.table("stagnation").collect()) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 0), (2, 1, 0)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from strandloom import __main__ as cli
+
+    rows = spark.range(300).select(
+        F.col("id").alias("row_index"), F.lit("1").alias("chrom"), (F.col("id") % 200).alias("pos"), F.lit("C").alias("ref_base"), F.lit("T").alias("alt_base"), F.lit("A").alias("x_prev1"), F.lit("G").alias("x_next1"),
+        (F.col("id") % 50).cast("double").alias("snvq"), (F.col("id") % 7).cast("double").alias("rq"), F.element_at(F.array(F.lit("x"), F.lit("y")), (F.col("id") % 2 + 1).cast("int")).alias("tag"), F.lit(1).alias("filt"),
+    )
+    at = lambda name: str(tmp_path / name)
+    rows.write.parquet(at("in"))
+    (tmp_path / "spec.json").write_text(json.dumps({"features": [{"name": "rq", "type": "float"}, {"name": "tag", "type": "c", "values": {"x": 0, "y": 1}}, {"name": "snvq", "type": "float"}]}))
+    cli.main(["train", "--input", at("in"), "--output", at("model"), "--features", at("spec.json"), "--epochs", "2"])
+    cli.main(["embed", "--input", at("in"), "--output", at("emb"), "--model", at("model")])
+    assert spark.read.parquet(at("emb")).count() == 300
+    cli.main(["cluster", "--input", at("emb"), "--output", at("clu"), "--clusters", "2"])
+    cli.main(["vcf", "--input", at("in"), "--labels", at("clu") + "/labels", "--output", at("vcf")])
+    text = [r[0] for r in spark.read.text(at("vcf")).collect()]
+    assert text.count("##fileformat=VCFv4.3") == 1 and sum(not t.startswith("#") for t in text) == 300
+    cli.main(["dedup", "--input", at("in"), "--output", at("ded")])
+    assert spark.read.parquet(at("ded")).count() == 200
+    cli.main(["combine", "--input", at("ded"), at("in"), "--output", at("all")])
+    cli.main(["histogram", "--input", at("in"), "--output", at("his")])
+    cli.main(["inspect", "--input", at("in"), "--where", "snvq > 40"])
+    assert "500 rows" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["embed", "--input", at("in"), "--output", at("emb"), "--model", at("model"), "--where", "snvq > 1000"])
