@@ -297,3 +297,15 @@ def ordered_limit(spark, folder):
 def row_counts(spark, folder):
     """SRC-03."""
     return table(spark, folder, "featuremap").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("filt") == 1).alias("n_passed"))
+
+
+@query("SELECT st, count(*) AS n_rows, count(snvq) FILTER (WHERE NOT isnan(snvq)) AS n_values FROM featuremap WHERE filt = 1 GROUP BY st")
+def batch_scan(spark, folder):
+    """SRC-04, STR-01: a Python function over Arrow batches, its partial sums added up."""
+
+    def part(frames):
+        for f in frames:
+            yield f.assign(n_rows=1, n_values=f["snvq"].notna().astype("int64")).groupby("st", dropna=False, as_index=False)[["n_rows", "n_values"]].sum()
+
+    rows = scan(table(spark, folder, "featuremap"), ["st", "snvq"], "filt = 1")
+    return rows.mapInPandas(part, "st string, n_rows bigint, n_values bigint").groupBy("st").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_values").alias("n_values"))

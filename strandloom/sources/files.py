@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sweeps import params_of_path
 from ..operators.unions import check_conserved, union_by_name
+from .tables import scan
 
 
 def combine(spark: SparkSession, paths: Sequence[str], target: str) -> int:
@@ -31,6 +33,20 @@ def inspect(df: DataFrame, predicate: str | None = None, rows: int = 5) -> dict:
     return {"columns": dict(df.dtypes), "n_rows": chosen.count(), "preview": [r.asDict() for r in chosen.limit(rows).collect()]}
 
 
+def batches(df: DataFrame, columns: Sequence[str], predicate: str | None = None, rows: int = 100_000) -> Iterator[pd.DataFrame]:
+    """SRC-04, STR-01: a bounded scan in frames of ``rows`` rows; the driver holds one partition at a time."""
+    if missing := [c for c in columns if c not in df.columns]:
+        raise ValueError(f"no such columns: {', '.join(missing)}")
+    held = []
+    for row in scan(df, columns, predicate).toLocalIterator(prefetchPartitions=True):
+        held.append(tuple(row))
+        if len(held) == rows:
+            yield pd.DataFrame(held, columns=list(columns))
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=list(columns))
+
+
 def write_parquet(df: DataFrame, path: str, order: Sequence[str] = (), files: int | None = None) -> None:
     """SNK-01..03: ZSTD parquet, sorted over all files where an order is given."""
     if order:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases, contexts
+from strandloom.functions import labels as words
 from strandloom.operators import encoding, exports, histograms, labelled, latent, model, ranked, reduce, sampling, sweeps, unions
 from strandloom.operators.latest import latest
 from strandloom.sources import files, tables
@@ -333,3 +334,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert "500 rows" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["embed", "--input", at("in"), "--output", at("emb"), "--model", at("model"), "--where", "snvq > 1000"])
+
+
+def test_batches(spark):
+    frames = list(files.batches(spark.range(250), ["id"], "id < 230", 100))
+    assert [len(f) for f in frames] == [100, 100, 30]
+    with pytest.raises(ValueError):
+        next(files.batches(spark.range(1), ["nothing"]))
+
+
+def test_words():
+    assert [words.duration(s) for s in (5, 65, 3_723)] == ["5s", "1m 05s", "1h 02m 03s"]
+    assert [words.size_label(n) for n in (999, 250_000, 2_500_000)] == ["999", "250k", "2.5M"]
+    assert words.split_list(" a, b,,a ") == ["a", "b"] and words.split_numbers("3,1,3") == [3, 1]
+    assert len(set(words.palette(20))) == 20
