@@ -294,10 +294,10 @@ def nearest_vectors(df: DataFrame, group: str, key: str, coordinates: Sequence[s
     shards = max(1, -(-rows.count() // SHARD))
     rows = rows.groupBy("grp", "id").agg(F.max(F.struct(*axes)).alias("v")).select("grp", "id", *[F.col(f"v.{a}") for a in axes])
 
-    same = Window.partitionBy("grp", *axes)
-    ordered = same.orderBy("id")
-    placed = rows.withColumn("low", F.first("id").over(ordered))
-    nodes = rows.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= k + 1)
+    # The smallest id names a node. A minimum and a join, not a window: rows of a vector that many share stay spread.
+    placed = rows.join(rows.groupBy("grp", *axes).agg(F.min("id").alias("low")), ["grp", *axes]).select("grp", "id", "low")
+    same = Window.partitionBy("grp", *axes).orderBy("id")
+    nodes = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1)
     nodes = nodes.groupBy("grp", *axes).agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
     @F.pandas_udf("bigint")
