@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .sampling import METRIC_ROWS, exact_sample
 
+#: Fixed values (AGG-14, AGG-16).
 ACTIVE_VARIANCE = 0.01
 COLLAPSE = 0.01
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, partitions
 
-#: Rows above which an O(n^2) metric is taken on a sample (SMP-08).
+#: Fixed value: rows above which an O(n^2) metric is taken on a sample (SMP-08).
 METRIC_ROWS = 5_000
 #: Sample size up to which rows are simply ordered.
 ORDERED = 20_000
-#: Added to the seed for the held-out reference sample (SMP-07).
+#: Fixed value: added to the seed for the held-out reference sample (SMP-07).
 REFERENCE_OFFSET = 1_234
 
 

@@ -8,6 +8,7 @@ from math import prod
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Fixed value (WIN-07, FN-08).
 CLOSE = 0.05
 
 

@@ -12,7 +12,7 @@ from ..sources.tables import scan, table
 from .registry import observations, observations_sql, query
 
 BASES4 = ["ref_base", "alt_base", "x_prev1", "x_next1"]
-#: FLT-01: the predicate that is applied where none is given.
+#: Fixed value (FLT-01): the predicate that is applied where none is given.
 DEFAULT_FILTER = "st = 'MIXED' AND et = 'MIXED' AND filt = 1"
 HIST = histograms.Window(0.0, 100.0, 20)
 _HIST_COLUMNS = [*BASES4, "snvq", "st", "et", "filt"]
@@ -60,6 +60,7 @@ def hist_dense_grid(spark, folder):
     return histograms.dense(spark, histograms.histogram(filtered(spark, folder, [*BASES4, "snvq"]), HIST), HIST)
 
 
+#: Fixed values (FLT-02).
 RQ = (0.025, 0.05, 0.075, 0.1, 0.15)
 
 
@@ -195,6 +196,7 @@ def norm_stats_pop_train(spark, folder):
     return encoding.train_stats(rows, NUMERIC, train).withColumns({c: F.round(c, 5) for c in ("mean", "std")})
 
 
+#: The categories of the mixture and strand tags.
 TM = encoding.Feature("tm", "c", {"A": 0, "AQ": 1, "AQZ": 2, "AZ": 3, "Q": 4, "QZ": 5, "Z": 6, "": 7})
 ST = encoding.Feature("st", "c", {"MINUS": 0, "MIXED": 1, "PLUS": 2, "UNDETERMINED": 3})
 
