@@ -3,9 +3,9 @@
 Method: randomised block selection. Sequence numbers are cut into fixed blocks
 of ``BLOCK``; a digest of seed and block number predetermines which ``chosen``
 positions of a block are in the sample, whether or not rows fill them yet. The
-positions are the images of 0, 1, ... under a permutation of the block, a
-Feistel network keyed by the digest, so exactly ``chosen`` of each block are
-picked and each position is equally likely. A row's membership depends on its
+positions are the images of 0, 1, ... under a permutation of the block keyed by the
+digest (odd multiples, sums and shifted bits, each of which can be undone), so exactly
+``chosen`` of each block are picked and each position is equally likely. A row's membership depends on its
 number and the seed only.
 
 The data side is read once for one column and folded, before any shuffle, into
@@ -17,50 +17,47 @@ negative numbers fall into negative blocks; empty tables give no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import partitions
 
-HALF_BITS = 5
-BLOCK = 1 << (2 * HALF_BITS)
-ROUNDS = 6
+BITS = 10
+BLOCK = 1 << BITS
 _WORDS = BLOCK // 64
-#: Blocks that one row of the block list expands to.
+#: Least number of blocks that one row of the block list expands to.
 _SPREAD = 64
 
 
-def _round(half: str, key: str) -> str:
-    return f"((({half} + {key}) * ({half} + 1 + ({key} % 97)) + ({key} // 256)) // 4) % {1 << HALF_BITS}"
-
-
-def positions(digest: Column, chosen: int) -> Column:
-    """The chosen positions of the block with this digest, as array<int>."""
-    keys = [F.conv(F.substring(digest, 1 + 4 * r, 4), 16, 10).cast("int") for r in range(ROUNDS)]
-    size = 1 << HALF_BITS
-
-    def image(j: Column) -> Column:
-        left, right = F.floor(j / size).cast("int"), (j % size).cast("int")
-        pair = F.struct(left.alias("l"), right.alias("r"))
-        return F.aggregate(F.array(*keys), pair, step, lambda p: p["l"] * size + p["r"])
+def _keys(digest: Column) -> list[Column]:
+    return [F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("int").alias(f"_k{i}") for i in range(6)]
 
-    def step(p: Column, k: Column) -> Column:
-        mixed = (p["r"] + k) * (p["r"] + 1 + k % 97) + F.shiftright(k, 8)
-        return F.struct(p["r"].alias("l"), p["l"].bitwiseXOR(F.shiftright(mixed, 2) % size).cast("int").alias("r"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(chosen - 1)), image)
+def positions(df: DataFrame, digest: Column, chosen: int) -> DataFrame:
+    """A row for each of the ``chosen`` positions of each row's block, in column ``position``."""
+    keyed = df.withColumn("_digest", digest).select(*df.columns, *_keys(F.col("_digest")))
+    x = F.explode(F.sequence(F.lit(0), F.lit(chosen - 1))).alias("_j")
+    keyed = keyed.select("*", x)
+    place = F.col("_j")
+    for i in (0, 2, 4):
+        place = (place * (F.col(f"_k{i}") * 2 + 1) + F.col(f"_k{i + 1}")).bitwiseAND(F.lit(BLOCK - 1))
+        if i < 4:
+            place = place.bitwiseXOR(F.shiftright(place, BITS // 2))
+    return keyed.select(*df.columns, place.alias("position"))
 
 
 def positions_sql(seed: str, block: str, j: str) -> str:
     """The position number ``j`` of a block as SQL text for DuckDB."""
     digest = f"md5(CAST({seed} AS VARCHAR) || ':' || CAST({block} AS VARCHAR))"
-    size = 1 << HALF_BITS
-    left, right = f"({j} // {size})", f"({j} % {size})"
-    query = f"SELECT {left} AS l, {right} AS r"
-    for n in range(ROUNDS):
-        key = f"CAST(('0x' || substr({digest}, {1 + 4 * n}, 4)) AS INT)"
-        query = f"SELECT r AS l, xor(l, {_round('r', key)}) AS r FROM ({query})"
-    return f"(SELECT l * {size} + r FROM ({query}))"
+    key = [f"CAST(('0x' || substr({digest}, {1 + 4 * i}, 4)) AS BIGINT)" for i in range(6)]
+    query = f"SELECT {j} AS x"
+    for i in (0, 2, 4):
+        query = f"SELECT (x * (2 * {key[i]} + 1) + {key[i + 1]}) % {BLOCK} AS x FROM ({query})"
+        if i < 4:
+            query = f"SELECT xor(x, x // {1 << BITS // 2}) AS x FROM ({query})"
+    return f"(SELECT x FROM ({query}))"
 
 
 def filled_blocks(df: DataFrame, number: str) -> DataFrame:
@@ -70,7 +67,7 @@ def filled_blocks(df: DataFrame, number: str) -> DataFrame:
     bit = F.expr(f"shiftleft(1L, cast(`{number}` & 63 AS INT))")
     word = F.shiftright(offset, 6)
     words = [F.bit_or(F.when(word == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_w{w}") for w in range(_WORDS)]
-    blocks = df.where(n.isNotNull()).groupBy(F.shiftright(n, 2 * HALF_BITS).alias("block")).agg(*words)
+    blocks = df.where(n.isNotNull()).groupBy(F.shiftright(n, BITS).alias("block")).agg(*words)
     return blocks.select("block", F.array(*[f"_w{w}" for w in range(_WORDS)]).alias("filled"))
 
 
@@ -83,18 +80,18 @@ def stable_sample(df: DataFrame, number: str, seeds: DataFrame, chosen: int) ->
     if not 0 < chosen <= BLOCK:
         raise ValueError(f"chosen must be from 1 to {BLOCK}")
     blocks = filled_blocks(df, number)
-    first, last = df.agg(F.min(F.shiftright(number, 2 * HALF_BITS)), F.max(F.shiftright(number, 2 * HALF_BITS))).first()
+    first, last = df.agg(F.min(F.shiftright(number, BITS)), F.max(F.shiftright(number, BITS))).first()
     if first is None:
         first, last = 0, -1
     runs = seeds.select("seed").where(F.col("seed").isNotNull()).distinct()
-    starts = F.filter(F.sequence(F.lit(first), F.lit(max(first, last)), F.lit(_SPREAD)), lambda b: b <= last)
+    spread = max(_SPREAD, math.isqrt(max(0, last - first)) + 1)  # both steps expand to about as many
+    starts = F.filter(F.sequence(F.lit(first), F.lit(max(first, last)), F.lit(spread)), lambda b: b <= last)
     pairs = runs.select("seed", F.explode(starts).alias("_start"))
-    # Few seeds lie in few tasks: spread them, and compute the positions there, before the join.
+    # Few seeds lie in few tasks: spread them before they grow.
     pairs = pairs.repartition(partitions(df.sparkSession), "seed", "_start")
-    pairs = pairs.select("seed", F.explode(F.sequence(F.col("_start"), F.least(F.col("_start") + _SPREAD - 1, F.lit(last)))).alias("block"))
-    digest = F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("block").cast("string")))
-    drawn = pairs.withColumn("positions", positions(digest, chosen))
+    pairs = pairs.select("seed", F.explode_outer(F.sequence(F.col("_start"), F.least(F.col("_start") + spread - 1, F.lit(last)))).alias("block"))
     # Far more pairs than the planner expects of so few seeds; it must not broadcast them.
-    drawn = drawn.join(blocks.hint("shuffle_hash"), "block").select("seed", "block", "filled", F.explode_outer("positions").alias("position"))
+    met = pairs.join(blocks.hint("shuffle_hash"), "block").select("seed", "block", "filled")
+    drawn = positions(met, F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("block").cast("string"))), chosen)
     there = F.getbit(F.element_at("filled", F.shiftright("position", 6) + 1), F.col("position") % 64) == 1
     return drawn.where(there).select("seed", (F.col("block") * BLOCK + F.col("position")).alias(number))
