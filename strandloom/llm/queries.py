@@ -370,7 +370,19 @@ def _groups(spark: SparkSession, folder: str) -> clusters.Clustering:
     return clusters.similarity_groups(table(spark, folder, "analysis"), "run_id", "row_index", *MAP, REACH, LEAST_MEMBERS)
 
 
-@query()
+#: Spreads the names of records without a smaller neighbour over the links; the least one to arrive names the group.
+_FOUND3_SQL = f"""
+    WITH RECURSIVE {_POINTS_SQL},
+    e AS (SELECT a.run_id, a.row_index AS a, b.row_index AS b FROM p a JOIN p b ON a.run_id = b.run_id AND a.row_index <> b.row_index
+          AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {REACH} * {REACH}),
+    r AS (SELECT run_id, row_index AS root, row_index AS node FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.run_id = p.run_id AND e.a = p.row_index AND e.b < e.a)
+          UNION SELECT r.run_id, r.root, e.b FROM r JOIN e ON r.run_id = e.run_id AND r.node = e.a),
+    g AS (SELECT run_id, node, min(root) AS row_a FROM r GROUP BY ALL),
+    k AS (SELECT run_id, row_a FROM g GROUP BY ALL HAVING count(*) >= {LEAST_MEMBERS})
+    SELECT row_a, node AS row_b FROM g JOIN k USING (run_id, row_a) WHERE node <> row_a"""
+
+
+@query(_FOUND3_SQL)
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The smallest id of a group is that of its smallest cell, which names the group."""
     members = _groups(spark, folder).members
