@@ -7,7 +7,8 @@ only such matrices reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -124,7 +125,7 @@ def metric_rows(pairs: DataFrame, key: str, rows: int = METRIC_ROWS, seed: int =
 
 
 def _ranked(pairs: DataFrame, key: str, k: int) -> DataFrame:
-    """Per row: its k nearest ids in x and y, and the rank in x of its nearest in y and the reverse.
+    """Per row: the rank in x of its k nearest in y and the reverse.
 
     ``pairs`` is at most a metric sample (5,000 rows by default), sent to every task once; tasks take blocks of rows."""
     held = pairs.select(key, "x", "y").orderBy(key).limit(METRIC_ROWS + 1).collect()
@@ -132,7 +133,7 @@ def _ranked(pairs: DataFrame, key: str, k: int) -> DataFrame:
         raise ValueError(f"more than {METRIC_ROWS} rows: take metric_rows() first")
     ids = np.array([r[0] for r in held])
     sent = pairs.sparkSession.sparkContext.broadcast((ids, np.array([r[1] for r in held], float), np.array([r[2] for r in held], float)))
-    columns = ["near_x", "near_y", "rank_in_x", "rank_in_y"]
+    columns = ["rank_in_x", "rank_in_y"]
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, x, y = sent.value
@@ -147,8 +148,7 @@ def _ranked(pairs: DataFrame, key: str, k: int) -> DataFrame:
                     np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], 1)
                     out[c] = order[:, 1 : k + 1], rank
                 yield pd.DataFrame({
-                    "id": names[at], "near_x": list(names[out["x"][0]]), "near_y": list(names[out["y"][0]]),
-                    "rank_in_x": list(np.take_along_axis(out["x"][1], out["y"][0], 1)), "rank_in_y": list(np.take_along_axis(out["y"][1], out["x"][0], 1)),
+                    "id": names[at], "rank_in_x": list(np.take_along_axis(out["x"][1], out["y"][0], 1)), "rank_in_y": list(np.take_along_axis(out["y"][1], out["x"][0], 1)),
                 })
 
     schema = "id bigint, " + ", ".join(f"{c} array<bigint>" for c in columns)
@@ -156,15 +156,53 @@ def _ranked(pairs: DataFrame, key: str, k: int) -> DataFrame:
     return spread.mapInPandas(block, schema)
 
 
-def nearest(pairs: DataFrame, key: str, k: int) -> DataFrame:
-    """JOIN-09: ``id``, ``place`` and ``neighbour`` in x; ties by id."""
-    return _ranked(pairs, key, k).select("id", F.posexplode("near_x").alias("place", "neighbour")).withColumn("place", F.col("place") + 1)
+#: Rows of a block of the neighbour search, which is all that a task holds of each side.
+BLOCK = 4_096
+
+
+def _nearest(rows: DataFrame, key: str, k: int, spaces: Sequence[str]) -> DataFrame:
+    """``space``, ``id``, ``place`` and ``neighbour``: the k nearest of every row among all others, ties by id.
+
+    Rows are dealt into b blocks by a hash of the id. Each of the b x b pairs of blocks gives the k nearest
+    of its query rows, of which the k nearest of all are kept; rows are sent b times, none to the driver."""
+    spark = rows.sparkSession
+    rows = rows.select(F.col(key).cast("bigint").alias("id"), *spaces)
+    n = rows.count()
+    b = max(1, math.ceil(n / BLOCK), min(math.ceil(n / 256), math.ceil(spark.sparkContext.defaultParallelism**0.5)))
+    parts = min(b * b, 4_096)
+    own, other = F.pmod(F.xxhash64("id"), F.lit(b)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
+    fresh = [F.col(c).alias(c) for c in rows.columns]  # else the two sides are one to the planner
+    # A number of partitions is given as the planner would put the few bytes into one task.
+    asking = rows.select(*fresh, own.alias("q"), other.alias("s")).repartition(parts, "q", "s").groupBy("q", "s")
+    stored = rows.select(*fresh, own.alias("s"), other.alias("q")).repartition(parts, "q", "s").groupBy("q", "s")
+
+    def block(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        theirs = theirs.sort_values("id", kind="stable")
+        ids, names, out = mine["id"].to_numpy(), theirs["id"].to_numpy(), []
+        for space in spaces if len(ids) and len(names) else ():
+            x, m = (np.stack(side[space].to_list()).astype(float) for side in (mine, theirs))
+            for i, v in zip(ids, x):
+                d = ((m - v) ** 2).sum(1)
+                order = np.argsort(d, kind="stable")
+                order = order[names[order] != i][:k]
+                out.append((np.full(len(order), space, object), np.full(len(order), i), names[order], d[order]))
+        columns = [np.concatenate(c) for c in zip(*out)] or [[]] * 4
+        return pd.DataFrame(dict(zip(["space", "id", "neighbour", "d"], columns)))
+
+    near = asking.cogroup(stored).applyInPandas(block, "space string, id bigint, neighbour bigint, d double")
+    place = F.row_number().over(Window.partitionBy("space", "id").orderBy("d", "neighbour"))
+    return near.withColumn("place", place).where(F.col("place") <= k).select("space", "id", "place", "neighbour")
+
+
+def nearest(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """JOIN-09: ``id``, ``place`` and ``neighbour`` in x, over all rows; ties by id."""
+    return _nearest(rows, key, k, ["x"]).drop("space")
 
 
 def knn_jaccard(pairs: DataFrame, key: str, k: int) -> DataFrame:
-    """CMP-04, JOIN-10: mean overlap of the k nearest in both spaces."""
-    shared = F.size(F.array_intersect("near_x", "near_y")) / F.size(F.array_union("near_x", "near_y"))
-    return _ranked(pairs, key, k).agg(F.avg(shared).alias("jaccard"))
+    """CMP-04, JOIN-10: mean overlap of the k nearest in both spaces, over all rows."""
+    near = _nearest(pairs, key, k, ["x", "y"]).groupBy("id").agg(*[F.collect_list(F.when(F.col("space") == s, F.col("neighbour"))).alias(s) for s in "xy"])
+    return near.agg(F.avg(F.size(F.array_intersect("x", "y")) / F.size(F.array_union("x", "y"))).alias("jaccard"))
 
 
 def trustworthiness(pairs: DataFrame, key: str, k: int, swapped: bool = False) -> DataFrame:

@@ -266,8 +266,7 @@ def procrustes(spark, folder):
 
 def _vectors(spark, folder):
     half = lambda a, b: F.transform(F.slice("embedding", a, b), lambda v: v.cast("double"))
-    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), half(1, 16).alias("x"), half(17, 48).alias("y"))
-    return latent.metric_rows(rows, "id")
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), half(1, 16).alias("x"), half(17, 48).alias("y"))
 
 
 _RANKS_SQL = """WITH v AS (SELECT vec_id AS id, embedding[1:16]::DOUBLE[] AS x, embedding[17:64]::DOUBLE[] AS y FROM embeddings),
@@ -295,13 +294,13 @@ def _trust_sql(a, b, name):
 @query(_trust_sql("rx", "ry", "trustworthiness"))
 def trustworthiness(spark, folder):
     """CMP-05."""
-    return latent.trustworthiness(_vectors(spark, folder), "id", 10).withColumn("trustworthiness", F.round("trustworthiness", 6))
+    return latent.trustworthiness(latent.metric_rows(_vectors(spark, folder), "id"), "id", 10).withColumn("trustworthiness", F.round("trustworthiness", 6))
 
 
 @query(_trust_sql("ry", "rx", "continuity"))
 def continuity(spark, folder):
     """CMP-06."""
-    return latent.trustworthiness(_vectors(spark, folder), "id", 10, swapped=True).withColumn("continuity", F.round("continuity", 6))
+    return latent.trustworthiness(latent.metric_rows(_vectors(spark, folder), "id"), "id", 10, swapped=True).withColumn("continuity", F.round("continuity", 6))
 
 
 @query("""WITH c AS (SELECT a.cluster_label AS a, f.cluster_label AS b, count(*)::DOUBLE AS n FROM (SELECT DISTINCT run_id, row_index, cluster_label FROM analysis) a

@@ -167,6 +167,31 @@ def test_latent_invariances(spark):
     assert fewer.count() == 30
 
 
+def test_neighbours_of_all_rows(spark, monkeypatch, tmp_path):
+    from strandloom.plans import records
+
+    rng = np.random.default_rng(4)
+    m = rng.integers(0, 4, (300, 64)).astype("float32")  # many ties
+    folder = str(tmp_path)
+    pd.DataFrame({"vec_id": np.arange(300) * 3, "embedding": list(m), "label": 0}).to_parquet(f"{folder}/embeddings.parquet")
+    monkeypatch.setattr(sampling, "METRIC_ROWS", 100)
+    monkeypatch.setattr(latent, "METRIC_ROWS", 100)
+    monkeypatch.setattr(latent.metric_rows, "__defaults__", (100, 0))
+    monkeypatch.setattr(latent, "BLOCK", 70)
+
+    def near(a):
+        d = ((a[:, None] - a[None]) ** 2).sum(2)
+        np.fill_diagonal(d, -1)
+        return np.argsort(d, axis=1, kind="stable")[:, 1:11]
+
+    x, y = near(m[:, :16].astype(float)), near(m[:, 16:].astype(float))
+    got = {(r["id"], r["place"]): r["neighbour"] for r in records.knn_topk(spark, folder).collect()}
+    assert got == {(3 * i, k + 1): 3 * x[i, k] for i in range(300) for k in range(10)}
+    shared = [len(set(a) & set(b)) for a, b in zip(x, y)]
+    assert abs(records.knn_jaccard10(spark, folder).first()[0] - np.mean([c / (20 - c) for c in shared])) < 1e-6
+    assert records.trustworthiness(spark, folder).count() == 1  # on a metric sample still
+
+
 def test_collapse(spark):
     m = np.column_stack([np.random.default_rng(1).normal(size=200), np.full(200, 0.0)])
     assert latent.collapse_diagnosis(space(spark, m), 2).first().asDict() == {"active_percent": 50.0, "n_collapsed": 1, "collapsed": "1"}
