@@ -60,6 +60,13 @@ def matrix(spectra: DataFrame, clusters: Sequence[int]) -> DataFrame:
     return full.select("place", "sbs96", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(f"cluster_{c}") for c in clusters])
 
 
+def dense_matrix(spectra: DataFrame) -> DataFrame:
+    """AGG-12 in long form, for any number of clusters: each cluster of ``spectra`` with all canonical contexts in matrix order, 0 for nothing."""
+    counts = spectra.groupBy("cluster_label").agg(F.map_from_entries(F.collect_list(F.struct("sbs96", "n"))).alias("m"))  # 96 entries at most
+    cells = counts.select("cluster_label", "m", F.posexplode(F.array(*[F.lit(x) for x in sbs96_labels()])).alias("place", "sbs96"))
+    return cells.select("cluster_label", "place", "sbs96", F.coalesce(F.col("m")[F.col("sbs96")], F.lit(0)).alias("n"))
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """TOP-03: the first n rows of each group, numbered."""
     place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))

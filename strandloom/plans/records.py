@@ -71,10 +71,19 @@ MATRIX_CLUSTERS = (0, 1, 2, 3, 4, 5)
     FROM (SELECT unnest([{", ".join(f"'{x}'" for x in sbs96_labels())}]) AS sbs96, unnest(range(96)) AS place) l
     LEFT JOIN (SELECT cluster_label, {_SBS_SQL} AS sbs96, n FROM ({_COUNTS_SQL})) c USING (sbs96) GROUP BY l.place, l.sbs96""")
 def sbs96_matrix(spark, folder):
-    """AGG-12."""
+    """AGG-12 with the columns of the first six clusters only, as its SQL has them; sbs96_matrix_all has every cluster."""
     return labelled.matrix(labelled.spectrum(labelled.context_counts(scored(spark, folder))), MATRIX_CLUSTERS)
 
 
+@query(f"""WITH s AS (SELECT cluster_label, {_SBS_SQL} AS sbs96, n FROM ({_COUNTS_SQL}))
+    SELECT k.cluster_label, CAST(l.place AS INT) AS place, l.sbs96, CAST(coalesce(sum(s.n), 0) AS BIGINT) AS n FROM (SELECT DISTINCT cluster_label FROM s WHERE sbs96 IS NOT NULL) k
+    CROSS JOIN (SELECT unnest([{", ".join(f"'{x}'" for x in sbs96_labels())}]) AS sbs96, unnest(range(96)) AS place) l
+    LEFT JOIN s ON s.cluster_label = k.cluster_label AND s.sbs96 = l.sbs96 GROUP BY ALL""")
+def sbs96_matrix_all(spark, folder):
+    """AGG-12: every cluster present, in long form."""
+    return labelled.dense_matrix(labelled.spectrum(labelled.context_counts(scored(spark, folder))))
+
+
 @query(f"""SELECT cluster_label, trinuc192, n, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cluster_label ORDER BY n DESC, trinuc192) AS INT) AS place FROM (
     SELECT cluster_label, x_prev1 || '[' || ref_base || '>' || alt_base || ']' || x_next1 AS trinuc192, n FROM ({_COUNTS_SQL})) WHERE trinuc192 IS NOT NULL) WHERE place <= 6""")
 def top6_contexts(spark, folder):

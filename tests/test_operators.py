@@ -167,6 +167,16 @@ def test_latent_invariances(spark):
     assert fewer.count() == 30
 
 
+def test_matrix_of_all_clusters(spark, tmp_path):
+    from strandloom.plans import records
+
+    rows = [(c, "C", "T", "A", "A") for c in (0, 6, 6, 240)] + [(7, "N", "T", "A", "A"), (-1, "C", "T", "A", "A"), (None, "C", "T", "A", "A")]
+    spark.createDataFrame(rows, "cluster_label int, ref_base string, alt_base string, x_prev1 string, x_next1 string").write.parquet(f"{tmp_path}/analysis.parquet")
+    got = records.sbs96_matrix_all(spark, str(tmp_path)).collect()
+    assert len(got) == 3 * 96 and {r["sbs96"]: r["place"] for r in got} == {x: i for i, x in enumerate(contexts.sbs96_labels())}
+    assert {(r["cluster_label"], r["sbs96"]): r["n"] for r in got if r["n"]} == {(0, "A[C>T]A"): 1, (6, "A[C>T]A"): 2, (240, "A[C>T]A"): 1}
+
+
 def test_neighbours_of_all_rows(spark, monkeypatch, tmp_path):
     from strandloom.plans import records
 
