@@ -2,7 +2,10 @@
 
 import bisect
 import random
+import re
 from collections import Counter
+from re import _constants as sre
+from re._parser import parse
 
 import pytest
 
@@ -184,3 +187,43 @@ def test_templates_of_everything(spark):
     found = {r["merged"]: r for r in residue.templates(residue.mined(documents(spark, rows), "doc", "text", everything=True)).collect()}
     assert found["Access denied."]["verdict"] == "error" and found["Access denied."]["n"] == 30
     assert any(m.startswith("Error <n>: disk <n> failed") and not r["verdict"] for m, r in found.items())
+
+
+def match_of(parsed, rng):
+    """A text that the parsed pattern matches, without what only looks around."""
+    out = ""
+    for op, arg in parsed:
+        if op is sre.LITERAL:
+            out += chr(arg)
+        elif op is sre.SUBPATTERN:
+            out += match_of(arg[-1], rng)
+        elif op is sre.BRANCH:
+            out += match_of(rng.choice(arg[1]), rng)
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            out += "".join(match_of(arg[2], rng) for _ in range(rng.randint(arg[0], max(arg[0], min(arg[1], 1)))))
+        elif op is sre.IN:
+            kind, one = rng.choice(arg)
+            out += chr(one) if kind is sre.LITERAL else chr(one[0]) if kind is sre.RANGE else {sre.CATEGORY_DIGIT: "4", sre.CATEGORY_WORD: "a"}.get(one, " ")
+        elif op is not sre.AT:
+            out += " "
+    return out
+
+
+@pytest.mark.parametrize("pattern", sorted({p for _, _, p in residue.MESSAGES}))
+def test_every_alternative_holds_a_cue(pattern):
+    rng, parsed, tried = random.Random(1), parse(pattern), 0
+    held = [residue.folded(cue) for cue, _, p in residue.MESSAGES if p == pattern]
+    for _ in range(1_000):
+        text = match_of(parsed, rng)
+        for m in filter(None, (re.search(pattern, t, re.I) for t in (text, text.upper()))):
+            tried += 1
+            assert any(cue in residue.folded(m[0]) for cue in held), m[0]
+    assert tried > 100
+
+
+@pytest.mark.parametrize("text", [
+    "503 Service Temporarily Unavailable", "504 Gateway Time-out", "Try again later.", "Texto de relleno", "Texto de muestra", "Dies ist ein Blindtext.", "Seu texto aqui", "Voorbeeldtekst",
+    "Bitte später noch mal versuchen", "SAYFA BULUNAMADI", "Connection refused", "You are not authorised to see this.", "An error has occurred.", "The page could not be found",
+])
+def test_messages_of_every_alternative(text):
+    assert residue.cues(residue.folded(text)) and residue.classify(text)
