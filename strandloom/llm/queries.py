@@ -323,7 +323,7 @@ def p10_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 def p10_templates(spark: SparkSession, folder: str) -> DataFrame:
     """All mined templates, each classified once."""
     rows = residue.mined(table(spark, folder, "documents"), "doc_id", "text", everything=True)
-    return residue.templates(rows).groupBy("merged", "verdict").agg(F.sum("n").alias("n_segments"))
+    return residue.templates(rows.where(F.col("kind") == "template")).groupBy("merged", "verdict").agg(F.sum("n").alias("n_segments"))
 
 
 # --- Problem 7: nearest records -----------------------------------------------------------

@@ -227,3 +227,13 @@ def test_every_alternative_holds_a_cue(pattern):
 ])
 def test_messages_of_every_alternative(text):
     assert residue.cues(residue.folded(text)) and residue.classify(text)
+
+
+def test_telling_word_that_varies(spark):
+    texts = [f"To open this interactive variant viewer, please {verb} JavaScript first." for verb in ("enable", "install", "compile")]
+    rows = [(i, texts[i]) for i in (0, 1, 2)] + [(3, texts[1])]
+    for parts in (1, 4):
+        split = documents(spark, rows).repartition(parts)
+        assert {r["doc"] for r in residue.residue(split, "doc", "text").collect()} == {0}
+    alike = [(i, f"Where the whole study stands today: TBD {w}") for i, w in enumerate(("soonish", "", "."))]
+    assert {r["doc"] for r in residue.residue(documents(spark, alike), "doc", "text").collect()} == {1, 2}
