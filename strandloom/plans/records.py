@@ -250,6 +250,43 @@ def collapse_diagnosis(spark, folder):
     return latent.collapse_diagnosis(_space(spark, folder, 0), D).withColumn("active_percent", F.round("active_percent", 6))
 
 
+# Their SQL keeps the four queries above to the first half; these describe the whole space.
+
+
+def _whole(spark, folder):
+    space = latent.wide_to_array(table(spark, folder, "embedding"), "row_index", "latent_")
+    return space, latent.width(space)
+
+
+_ALL = range(2 * D)
+_ALL_MOMENTS_SQL = " UNION ALL ".join(f"SELECT {i} AS dim, count(*) AS n_rows, avg({_L(i)}) AS mean, greatest(avg({_L(i)} * {_L(i)}) - avg({_L(i)}) * avg({_L(i)}), 0) AS var FROM embedding" for i in _ALL)
+
+
+@query(f"SELECT dim, n_rows, round(mean, 6) AS mean, round(var, 6) AS var FROM ({_ALL_MOMENTS_SQL})")
+def latent_moments_all(spark, folder):
+    """AGG-14."""
+    return latent.moments(*_whole(spark, folder)).withColumns({c: F.round(c, 6) for c in ("mean", "var")})
+
+
+@query(f"SELECT count(*) FILTER (WHERE var > 0.01) AS active_units, max(n_rows) AS n_rows FROM ({_ALL_MOMENTS_SQL})")
+def latent_active_units_all(spark, folder):
+    """AGG-14."""
+    return latent.active_units(latent.moments(*_whole(spark, folder)))
+
+
+@query(f"SELECT round(({' + '.join(f'stddev_pop({_L(i)})' for i in _ALL)}) / {len(_ALL)}, 6) AS latent_collapse FROM embedding")
+def collapse_score_all(spark, folder):
+    """AGG-15."""
+    return latent.collapse_score(*_whole(spark, folder)).withColumn("latent_collapse", F.round("latent_collapse", 6))
+
+
+@query(f"""SELECT round(100 * avg(CASE WHEN down THEN 0.0 ELSE 1.0 END), 6) AS active_percent, count(*) FILTER (WHERE down) AS n_collapsed, coalesce(string_agg(CAST(dim AS VARCHAR), ',' ORDER BY dim) FILTER (WHERE down), '') AS collapsed
+    FROM (SELECT dim, ((var + mean * mean) / 2 < 0.01 OR var < 0.01) AS down FROM ({_ALL_MOMENTS_SQL}))""")
+def collapse_diagnosis_all(spark, folder):
+    """AGG-16."""
+    return latent.collapse_diagnosis(*_whole(spark, folder)).withColumn("active_percent", F.round("active_percent", 6))
+
+
 def _cross_sql(a, b, centred=True):
     cell = lambda i, j: f"pow(sum({_L(i)} * {_L(j)})" + (f" - sum({_L(i)}) * sum({_L(j)}) / count(*)" if centred else "") + ", 2)"
     return " + ".join(cell(a * D + i, b * D + j) for i in _DIMS for j in _DIMS)

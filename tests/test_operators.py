@@ -177,6 +177,20 @@ def test_matrix_of_all_clusters(spark, tmp_path):
     assert {(r["cluster_label"], r["sbs96"]): r["n"] for r in got if r["n"]} == {(0, "A[C>T]A"): 1, (6, "A[C>T]A"): 2, (240, "A[C>T]A"): 1}
 
 
+def test_all_latent_dimensions(spark, tmp_path):
+    from strandloom.plans import records
+
+    m = np.random.default_rng(5).normal(size=(200, 16))
+    m[:, 12] = 3.0
+    pd.DataFrame({"row_index": np.arange(200), **{f"latent_{i}": m[:, i] for i in range(16)}}).to_parquet(f"{tmp_path}/embedding.parquet")
+    folder = str(tmp_path)
+    got = {r["dim"]: r for r in records.latent_moments_all(spark, folder).collect()}
+    assert sorted(got) == list(range(16)) and all(abs(got[i]["mean"] - m[:, i].mean()) < 1e-5 and abs(got[i]["var"] - m[:, i].var()) < 1e-5 for i in got)
+    assert records.latent_active_units_all(spark, folder).first().asDict() == {"active_units": 15, "n_rows": 200}
+    assert abs(records.collapse_score_all(spark, folder).first()[0] - m.std(0).mean()) < 1e-5
+    assert records.collapse_diagnosis_all(spark, folder).first().asDict() == {"active_percent": 93.75, "n_collapsed": 1, "collapsed": "12"}
+
+
 def test_neighbours_of_all_rows(spark, monkeypatch, tmp_path):
     from strandloom.plans import records
 
