@@ -237,3 +237,19 @@ def test_telling_word_that_varies(spark):
         assert {r["doc"] for r in residue.residue(split, "doc", "text").collect()} == {0}
     alike = [(i, f"Where the whole study stands today: TBD {w}") for i, w in enumerate(("soonish", "", "."))]
     assert {r["doc"] for r in residue.residue(documents(spark, alike), "doc", "text").collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("text", [
+    "The variant was called in {{sample_name}} and confirmed.", "The pattern of reads in {{sample_name}} was confirmed.", "Runs import their limits, and the sample is ${SAMPLE_ID} here.",
+    "We return the samples of [INSERT NAME HERE] next week.", "The launcher failed, and the run ${RUN_ID} ended.",
+])
+def test_slot_behind_a_word_about_something_else(text):
+    assert residue.has_slot(text)
+
+
+@pytest.mark.parametrize("text", [
+    "The token {{ name }} stays as it is.", "A variable named ${OUT_DIR} was set.", "The variables ${OUT_DIR}, ${SEED} and ${RUN_ID} are set first.", "Marks such as {{ x }} or {{ y }} are kept.",
+    "The launcher reads ${OUT_DIR} and ${SEED} before the sweep.", "We renamed the field, so the template uses [object Object] now.",
+])
+def test_word_that_refers_to_the_mark(text):
+    assert not residue.has_slot(text)
