@@ -33,7 +33,8 @@ def exact_sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
     Two bounds on the key, each safe by ten standard deviations, settle nearly every
     row; only the rows between them, of the order of sqrt(n), are ordered to find the
     last key. No task ever holds the sample. Up to ``ORDERED`` rows the rows below the
-    upper bound are ordered instead, which saves a pass."""
+    upper bound are ordered instead. Keys that many rows share can leave fewer than n
+    rows below it; then all rows are ordered."""
     total = df.count()
     if n >= total:
         return df
@@ -52,6 +53,8 @@ def exact_sample(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
             if chosen.count() == n:  # else rows share all keys
                 return chosen
         near = df
+    elif near.count() < n:
+        near = df
     return near.orderBy(key, *keys).limit(n)
 
 

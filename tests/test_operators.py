@@ -167,6 +167,14 @@ def test_latent_invariances(spark):
     assert fewer.count() == 30
 
 
+def test_exact_sample_of_a_shared_key(spark):
+    rows = spark.range(3_000).select(F.when(F.col("id") < 2_000, F.col("id")).otherwise(-1).alias("k"))  # -1 for a third
+    lead = spark.createDataFrame([(-1,)], "k bigint")
+    seed = next(s for s in range(50) if lead.select(sampling.sample_key(s, "k")).first()[0] > "f")
+    for n in (100, 2_000, 2_500, 2_999):
+        assert sampling.exact_sample(rows, n, seed, "k").count() == n
+
+
 def test_matrix_of_all_clusters(spark, tmp_path):
     from strandloom.plans import records
 
