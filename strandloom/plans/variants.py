@@ -76,9 +76,12 @@ def rq_threshold_counts(spark, folder):
 _DEDUP = [*ranked.LOCUS, *ranked.RANKING, "row_index"]
 _DEDUP_OUT = ["row_index", *ranked.LOCUS, "snvq"]
 _DEDUP_COLUMNS = [*_DEDUP, "st", "et", "filt"]
+#: By its text: isnan() on a scanned column can be folded away from file statistics.
+_USABLE_SQL = {c: f"CASE WHEN CAST({c} AS VARCHAR) <> 'nan' THEN {c} END" for c in ("snvq", "qual", "raw_vaf")} | {"mapq": "CASE WHEN mapq <> 255 THEN mapq END", "dp": "CASE WHEN dp >= 0 THEN dp END"}
+_RANKED_SQL = f"(SELECT * REPLACE ({', '.join(f'{v} AS {c}' for c, v in _USABLE_SQL.items())}) FROM {observations_sql(_DEDUP_COLUMNS)} WHERE {DEFAULT_FILTER})"
 _DEDUP_SQL = f"""
     SELECT {", ".join(_DEDUP_OUT)} FROM (SELECT *, row_number() OVER (PARTITION BY {", ".join(ranked.LOCUS)} ORDER BY {", ".join(f"{c} DESC NULLS LAST" for c in ranked.RANKING)},
-    {", ".join(f"{c} ASC NULLS LAST" for c in _DEDUP_OUT)}) AS rn FROM {observations_sql(_DEDUP_COLUMNS)} WHERE {DEFAULT_FILTER}) WHERE rn = 1"""
+    {", ".join(f"{c} ASC NULLS LAST" for c in _DEDUP_OUT)}) AS rn FROM {_RANKED_SQL}) WHERE rn = 1"""
 
 
 def deduplicated(spark, folder):
@@ -110,8 +113,8 @@ def verify_unique(spark, folder):
 
 
 @query(f"""SELECT count(*) AS n_checked, count(*) FILTER (WHERE kept IS DISTINCT FROM top) AS n_mismatches FROM (
-    SELECT k.snvq AS kept, max(s.snvq) AS top FROM {observations_sql(_DEDUP_COLUMNS)} s JOIN ({_DEDUP_SQL}) k USING ({", ".join(ranked.LOCUS)})
-    WHERE {DEFAULT_FILTER} GROUP BY {", ".join(ranked.LOCUS)}, k.snvq)""")
+    SELECT k.snvq AS kept, max(s.snvq) AS top FROM {_RANKED_SQL} s JOIN ({_DEDUP_SQL}) k USING ({", ".join(ranked.LOCUS)})
+    GROUP BY {", ".join(ranked.LOCUS)}, k.snvq)""")
 def verify_group_max(spark, folder):
     """AGG-08, JOIN-03, FLT-08: every kept row, not a spot check."""
     return ranked.group_maximum_mismatches(filtered(spark, folder, _DEDUP), deduplicated(spark, folder), ranked.LOCUS, "snvq")

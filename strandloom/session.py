@@ -27,12 +27,14 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it from there on.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Only where that
-    setting is missing (one machine, tests) is a temporary folder used.
+    The cluster names the folder in ``spark.checkpoint.dir``. Only on one machine
+    may that setting be missing: then a temporary folder is used.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandloom-checkpoint-"))
     return df.checkpoint()
 

@@ -48,6 +48,16 @@ def test_histogram_edges(spark):
     assert dense.count() == 6 * 16 * 20 and dense.agg(F.sum("n")).first()[0] == 1
 
 
+def test_ranked_dedup_leaves_unusable_values_last(spark):
+    schema = f"{LOCUS}, snvq double, qual double, mapq int, dp int, row_index bigint"
+    nan = float("nan")
+    rows = [("1", 1, "A", "C", nan, 9.0, 60, 9, 1), ("1", 1, "A", "C", 5.0, 1.0, 255, 9, 2), ("1", 1, "A", "C", 5.0, 1.0, 60, -1, 3), ("1", 1, "A", "C", 5.0, 1.0, 60, 0, 4), ("2", 1, "A", "C", nan, nan, 255, -1, 5)]
+    df = spark.createDataFrame(rows, schema)
+    best = ranked.best_per_locus(df, output=["row_index", *ranked.LOCUS, "snvq"])
+    assert sorted((r["row_index"], r["snvq"]) for r in best.collect()) == [(4, 5.0), (5, None)]
+    assert ranked.group_maximum_mismatches(df, best, ranked.LOCUS, "snvq").first().asDict() == {"n_checked": 2, "n_mismatches": 0}
+
+
 def test_ranked_dedup_ties_and_nulls(spark):
     schema = f"{LOCUS}, snvq double, qual double, row_index bigint"
     rows = [("1", 1, "A", "C", 5.0, None, 2), ("1", 1, "A", "C", 5.0, 1.0, 3), ("1", 1, "A", "C", 5.0, 1.0, 1), ("1", 1, None, "C", 5.0, 1.0, 4), ("1", 1, None, "C", 6.0, 1.0, 5)]
