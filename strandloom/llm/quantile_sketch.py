@@ -6,10 +6,12 @@ each value in it by at most ``error`` times that value. Sketches of partitions,
 days or other sets are merged by adding the counts of equal buckets, so any
 combination is exact on the bucket level.
 
-Error bound: the percentile q returned for n values is within the relative
-``error`` of the value at position floor(q * (n - 1)) of the sorted values. Values
-closer to 0 than ``TINY`` count as 0. The number of buckets per group is bounded
-by the range of doubles (about 71,000 per sign at 1 %), whatever the row count.
+Error bound: the percentile q returned for n values is within the relative ``error``
+(times 1 + 1e-6, for rounding in doubles) of the value at position floor(q * (n - 1)) of the
+sorted values. This holds for all normal doubles, of both signs; those closer to 0 than
+``TINY`` (subnormal ones) count as 0. ``error`` is from ``LEAST_ERROR`` up. The number of
+buckets per group is bounded by the range of doubles (about 71,000 per sign at 1 %),
+whatever the row count.
 
 Defined cases: null and NaN are counted apart as ``n_missing`` and enter no
 percentile; infinities keep buckets of their own at both ends and come out as
@@ -25,43 +27,56 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TINY = 1e-9
-_SHIFT = 100_000
-_ENDS = 1_000_000
+#: The smallest normal double and the greatest.
+TINY = 2.2250738585072014e-308
+_GREATEST = 1.7976931348623157e308
+#: Buckets narrower than this are not told apart by logarithms in doubles.
+LEAST_ERROR = 1e-6
 
 
 def gamma(error: float) -> float:
-    if not 0 < error < 1:
-        raise ValueError("error must lie between 0 and 1")
+    if not LEAST_ERROR <= error < 1:
+        raise ValueError(f"error must lie between {LEAST_ERROR} and 1")
     return (1 + error) / (1 - error)
 
 
+def _scale(error: float) -> tuple[float, int, int]:
+    """The logarithm of a bucket's width, the shift that makes the numbers of positive
+    values positive, and the number above all others, that of infinity."""
+    width = math.log(gamma(error))
+    shift = 2 - math.floor(math.log(TINY) / width)
+    return width, shift, shift + math.ceil(math.log(_GREATEST) / width) + 2
+
+
 def bucket(value: Column, error: float) -> Column:
     """Signed bucket number; its order is the order of the values. Null for null and NaN."""
+    width, shift, ends = _scale(error)
     v = value.cast("double")
     size = F.abs(v)
-    index = F.ceil(F.log(size) / math.log(gamma(error))) + _SHIFT
-    index = F.when(size == float("inf"), F.lit(_ENDS)).when(size < TINY, F.lit(0)).otherwise(index)
-    return F.when(v.isNull() | F.isnan(v), F.lit(None)).otherwise(F.when(v < 0, -index).otherwise(index)).cast("int")
+    index = F.ceil(F.log(size) / width) + shift
+    index = F.when(size == float("inf"), F.lit(ends)).when(size < TINY, F.lit(0)).otherwise(index)
+    return F.when(v.isNull() | F.isnan(v), F.lit(None)).otherwise(F.when(v < 0, -index).otherwise(index)).cast("bigint")
 
 
 def bucket_sql(value: str, error: float) -> str:
-    index = f"CASE WHEN abs({value}) = 'inf'::DOUBLE THEN {_ENDS} WHEN abs({value}) < {TINY} THEN 0 ELSE ceil(ln(abs({value})) / {math.log(gamma(error))!r}) + {_SHIFT} END"
-    return f"CASE WHEN {value} IS NULL OR isnan({value}) THEN NULL ELSE CAST(CASE WHEN {value} < 0 THEN -({index}) ELSE ({index}) END AS INT) END"
+    width, shift, ends = _scale(error)
+    index = f"CASE WHEN abs({value}) = 'inf'::DOUBLE THEN {ends} WHEN abs({value}) < {TINY!r} THEN 0 ELSE ceil(ln(abs({value})) / {width!r}) + {shift} END"
+    return f"CASE WHEN {value} IS NULL OR isnan({value}) THEN NULL ELSE CAST(CASE WHEN {value} < 0 THEN -({index}) ELSE ({index}) END AS BIGINT) END"
 
 
 def bucket_value(number: Column, error: float) -> Column:
-    g = gamma(error)
-    size = F.pow(F.lit(g), F.abs(number) - _SHIFT) * (2 / (g + 1))
-    size = F.when(number == 0, 0.0).when(F.abs(number) == _ENDS, float("inf")).otherwise(size)
-    return F.when(number < 0, -size).otherwise(size)
+    """The value that differs from each of the bucket by at most ``error`` of it; never beyond the doubles."""
+    width, shift, ends = _scale(error)
+    size = F.least(F.exp((F.abs(number) - shift) * width + math.log1p(-error)), F.lit(_GREATEST))
+    size = F.when(number == 0, 0.0).when(F.abs(number) == ends, float("inf")).otherwise(size)
+    return F.when(number.isNotNull(), F.when(number < 0, -size).otherwise(size))
 
 
 def bucket_value_sql(number: str, error: float) -> str:
-    g = gamma(error)
+    width, shift, ends = _scale(error)
     return (
-        f"CASE WHEN {number} = 0 THEN 0.0 WHEN abs({number}) = {_ENDS} THEN sign({number}) * 'inf'::DOUBLE "
-        f"ELSE sign({number}) * pow({g!r}, abs({number}) - {_SHIFT}) * {2 / (g + 1)!r} END"
+        f"CASE WHEN {number} IS NULL THEN NULL WHEN {number} = 0 THEN 0.0 WHEN abs({number}) = {ends} THEN sign({number}) * 'inf'::DOUBLE "
+        f"ELSE sign({number}) * least(exp((abs({number}) - {shift}) * {width!r} + {math.log1p(-error)!r}), {_GREATEST!r}) END"
     )
 
 
@@ -88,5 +103,5 @@ def percentiles(sketches: DataFrame, groups: Sequence[str], shares: Sequence[flo
     missing = F.coalesce(F.sum(F.when(F.col("bucket").isNull(), F.col("n"))), F.lit(0)).alias("n_missing")
     names = [f"p{round(100 * s, 2):g}".replace(".", "_") for s in shares]
     return cumulated.groupBy(*groups).agg(total, missing, *found).select(
-        *groups, "n", "n_missing", *[F.round(bucket_value(F.col(f"_b{i}"), error), 6).alias(c) for i, c in enumerate(names)]
+        *groups, "n", "n_missing", *[bucket_value(F.col(f"_b{i}"), error).alias(c) for i, c in enumerate(names)]
     )

@@ -259,7 +259,8 @@ def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     window = F.coalesce(F.floor(F.col("batch_no") / WINDOW_BATCHES).cast("string"), F.lit("?"))
     scopes = F.array(F.lit("all"), F.concat(F.lit("batch "), batch), F.concat(F.lit("window "), window))
     sketches = snvq_sketches(spark, folder).select(F.explode(scopes).alias("scope"), "x_prev1", "x_next1", "bucket", "n")
-    return quantile_sketch.percentiles(sketches, ["scope", "x_prev1", "x_next1"], SHARES, ERROR)
+    found = quantile_sketch.percentiles(sketches, ["scope", "x_prev1", "x_next1"], SHARES, ERROR)
+    return found.withColumns({c: F.round(c, 6) for c in found.columns if c[1:].isdigit()})  # in units of snvq, for the comparison with SQL
 
 
 # --- Problem 8: containers ----------------------------------------------------------------

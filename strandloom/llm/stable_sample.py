@@ -9,7 +9,9 @@ digest (odd multiples, sums and shifted bits, each of which can be undone), so e
 number and the seed only.
 
 The data side is read once for one column and folded, before any shuffle, into
-one bit per position (1,024 bits a block).
+one bit per position (1,024 bits a block). Only blocks that hold rows meet the seeds, in
+lists of ``_LISTED`` seeds, by an equi-join on the number of the list and a salt of the block: what
+is shuffled is a row per block and list, a small share of the result.
 
 Defined cases: null numbers are in no block; repeated numbers count once;
 negative numbers fall into negative blocks; empty tables give no rows.
@@ -17,8 +19,6 @@ negative numbers fall into negative blocks; empty tables give no rows.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +27,8 @@ from ..session import partitions
 BITS = 10
 BLOCK = 1 << BITS
 _WORDS = BLOCK // 64
-#: Least number of blocks that one row of the block list expands to.
-_SPREAD = 64
+#: Seeds in one list.
+_LISTED = 64
 
 
 def _keys(digest: Column) -> list[Column]:
@@ -74,24 +74,20 @@ def filled_blocks(df: DataFrame, number: str) -> DataFrame:
 def stable_sample(df: DataFrame, number: str, seeds: DataFrame, chosen: int) -> DataFrame:
     """``seed`` and ``number`` of the members of each seed's sample.
 
-    ``seeds`` has one column ``seed``. Each seed meets each block once, which is
-    in proportion to the result (``chosen`` rows of a full block).
+    ``seeds`` has one column ``seed``. Each seed meets each block that holds rows
+    once, which is in proportion to the result (``chosen`` rows of a full block).
     """
     if not 0 < chosen <= BLOCK:
         raise ValueError(f"chosen must be from 1 to {BLOCK}")
-    blocks = filled_blocks(df, number)
-    first, last = df.agg(F.min(F.shiftright(number, BITS)), F.max(F.shiftright(number, BITS))).first()
-    if first is None:
-        first, last = 0, -1
     runs = seeds.select("seed").where(F.col("seed").isNotNull()).distinct()
-    spread = max(_SPREAD, math.isqrt(max(0, last - first)) + 1)  # both steps expand to about as many
-    starts = F.filter(F.sequence(F.lit(first), F.lit(max(first, last)), F.lit(spread)), lambda b: b <= last)
-    pairs = runs.select("seed", F.explode(starts).alias("_start"))
-    # Few seeds lie in few tasks: spread them before they grow.
-    pairs = pairs.repartition(partitions(df.sparkSession), "seed", "_start")
-    pairs = pairs.select("seed", F.explode_outer(F.sequence(F.col("_start"), F.least(F.col("_start") + spread - 1, F.lit(last)))).alias("block"))
-    # Far more pairs than the planner expects of so few seeds; it must not broadcast them.
-    met = pairs.join(blocks.hint("shuffle_hash"), "block").select("seed", "block", "filled")
+    lists = max(1, -(-runs.count() // _LISTED))
+    salts = partitions(df.sparkSession)
+    held = runs.groupBy(F.pmod(F.xxhash64("seed"), F.lit(lists)).alias("_list")).agg(F.collect_list("seed").alias("_seeds"))  # about _LISTED
+    held = held.select("_list", "_seeds", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    blocks = filled_blocks(df, number).select("*", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("_salt"))
+    blocks = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lists - 1).cast("bigint"))).alias("_list"))
+    # Far more rows come out than the planner expects of so few lists; they must not be broadcast.
+    met = blocks.join(held.hint("shuffle_hash"), ["_list", "_salt"]).select("block", "filled", F.explode("_seeds").alias("seed"))
     drawn = positions(met, F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("block").cast("string"))), chosen)
     there = F.getbit(F.element_at("filled", F.shiftright("position", 6) + 1), F.col("position") % 64) == 1
     return drawn.where(there).select("seed", (F.col("block") * BLOCK + F.col("position")).alias(number))

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import fixed_sample, proportions, quantile_sketch, stable_sample, survivors
@@ -173,3 +174,35 @@ def test_percentile_edges(spark):
     assert (got["b"]["p0"], got["b"]["p100"]) == (float("-inf"), float("inf")) and abs(got["b"]["p50"] - 1) <= 0.01 + 1e-9
     assert abs(got[None]["p50"] - 2) < 0.02
     assert quantile_sketch.percentiles(quantile_sketch.sketch(df.limit(0), ["g"], "v"), ["g"], (0.5,)).count() == 0
+
+
+@pytest.mark.parametrize("error", [0.1, 0.01, 1e-4, 1e-6])
+def test_percentile_guarantee_over_the_range_of_doubles(spark, error):
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([10.0 ** rng.uniform(-300, 300, 400), 10.0 ** rng.uniform(-9, -6, 100), [3e-7, 4e-7, 5e-7, 1e-9, 1e300, 1.7976931348623157e308, 2.2250738585072014e-308]])
+    values = np.concatenate([sizes, -sizes, [0.0, math.inf, -math.inf]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    ordered = np.sort(values)
+    shares = tuple(float(s) for s in rng.random(60)) + (0.0, 0.5, 1.0)
+    row = quantile_sketch.percentiles(quantile_sketch.sketch(df, [], "v", error), [], shares, error).first()
+    for s, got in zip(shares, row[2:]):
+        true = ordered[math.floor(s * (len(ordered) - 1))]
+        assert got == true or abs(got - true) <= error * (1 + 1e-6) * abs(true), (s, got, true)
+
+
+def test_small_median_is_not_rounded_away(spark):
+    df = spark.createDataFrame([(3e-7,), (4e-7,), (5e-7,)], "v double")
+    assert abs(quantile_sketch.percentiles(quantile_sketch.sketch(df, [], "v"), [], (0.5,)).first()["p50"] - 4e-7) <= 4e-9 * 1.001
+    with pytest.raises(ValueError):
+        quantile_sketch.gamma(1e-7)
+
+
+def test_stable_sample_of_scattered_ids(spark):
+    ids = [0, 1, 5, 1_023, 10**8, 10**15, 10**15 + 7, 4 * 10**18, -3]
+    df = spark.createDataFrame([(i,) for i in ids], "row bigint")
+    seeds = spark.createDataFrame([(i,) for i in range(150)], "seed int")
+    got = {(r["seed"], r["row"]) for r in stable_sample.stable_sample(df, "row", seeds, 512).collect()}
+    assert len(got) == stable_sample.stable_sample(df.union(df), "row", seeds, 512).count() and {r for _, r in got} == set(ids)
+    some = stable_sample.stable_sample(df.where("row < 10"), "row", seeds, 512).collect()
+    assert {(r["seed"], r["row"]) for r in some} == {(s, r) for s, r in got if r < 10}
+    assert abs(len(got) / (150 * len(ids)) - 0.5) < 0.06
