@@ -3,22 +3,28 @@
 Method: power-iteration spectral clustering. Records are gathered in grid cells so
 small that all records of a cell are similar; cells are the nodes of a sparse graph,
 linked where a record of one is within ``reach`` of a record of the other. The
-affinities are normalised to a random walk, several vectors are iterated over the
-distributed edges, and k-means groups the embedding they form. Members are ranked by
-their affinity to their own group.
+affinities are normalised to a lazy random walk; several vectors are iterated until
+they settle, which they do at one place per group, and k-means on the embedding
+they form gives the groups. Members are ranked by their affinity to their own group.
 
-An exact check follows: a cluster of the embedding is cut where it is not connected
-and clusters with a link between them are joined, so that two records are in one group
-exactly if steps of at most ``reach`` lead from one to the other.
+The vectors are distributed over tiles of cells. Where a tile's share has settled, its
+clusters become nodes of a coarser graph, and the iteration goes on over wider tiles,
+until no link leaves a tile. A task holds a tile: at most ``_TILE`` squared cells, and then
+clusters that reach the border of one of ``_WIDER`` squared tiles, whatever the records.
+
+An exact check follows in every tile: a cluster that a link leaves, or in which links do not
+lead from one member to all, is mended along its links. Two records are thus in one
+group exactly if steps of at most ``reach`` lead from one to the other.
 
 Nothing depends on the number of records in a cell: links are decided on bounding
 boxes, refined sixteenfold per axis only where these leave it open, down to single
-coordinates. Work on tiles is bounded by the cells a tile can hold.
+coordinates.
 
-Defined cases: a row with a null, NaN or infinite coordinate, or one beyond
-``FARTHEST``, is left out, as are null groups and ids; an id repeated within a group
-counts once, with its greatest coordinates; equal coordinates are similar; an empty
-table gives no groups; groups below ``least`` members are dropped.
+Defined cases: a row with a null, NaN or infinite coordinate is left out, as are null
+groups and ids; a coordinate beyond ``FARTHEST``, where single-precision numbers are 64 apart, is
+similar only to one that equals it; an id repeated within a group counts once, with its
+greatest coordinates; equal coordinates are similar; an empty table gives no groups;
+groups below ``least`` members are dropped.
 """
 
 from __future__ import annotations
@@ -32,20 +38,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, partitions
 
 FARTHEST = 1e9
 _SPLIT = 16
-_TILE = 64
+_TILE = 32
+_WIDER = 16
+_PLACE = ["ax", "ay", "bx", "by"]
 VECTORS = 4
-ITERATIONS = 6
-CLUSTERS = 12
-LLOYD = 3
+#: Vectors have settled when a turn moves them by less than this.
+SETTLED = 1e-10
+#: Nodes up to which the walk is squared; turns of squaring, and of single steps for more nodes.
+DENSE, DOUBLINGS, STEPS = 1_024, 40, 4_096
+#: Side of the boxes in which k-means puts its first centres.
+BOX = 1e-6
+LLOYD = 2
 
 
 @dataclass
 class Clustering:
-    """``members``: grp, id, cluster (smallest id of the group), part (k-means cluster), affinity.
+    """``members``: grp, id, cluster (smallest id of the group), mended (by the exact check), affinity.
     ``groups``: grp, cluster, size."""
 
     members: DataFrame
@@ -126,130 +138,188 @@ def links(points: DataFrame, cells: DataFrame, side: float, reach: float) -> Dat
     return found
 
 
-def power_iteration(cells: DataFrame, edges: DataFrame, reach: float, vectors: int = VECTORS, iterations: int = ITERATIONS) -> DataFrame:
-    """``grp``, ``low``, ``degree`` and the embedding ``v0`` .. of every node."""
-    at = cells.select("grp", "low", "n", "mx", "my")
-    ends = edges.join(at.select("grp", F.col("low").alias("a"), F.col("n").alias("na"), F.col("mx").alias("xa"), F.col("my").alias("ya")), ["grp", "a"])
-    ends = ends.join(at.select("grp", F.col("low").alias("b"), F.col("n").alias("nb"), F.col("mx").alias("xb"), F.col("my").alias("yb")), ["grp", "b"])
-    square = F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2)
-    weight = F.sqrt(F.col("na").cast("double") * F.col("nb")) * F.exp(-square / (2 * reach * reach))
-    ends = ends.select("grp", "a", "b", weight.alias("w"))
-    walk = ends.unionByName(ends.select("grp", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    walk = walk.unionByName(at.select("grp", F.col("low").alias("a"), F.col("low").alias("b"), F.col("n").cast("double").alias("w")))
-    degree = walk.groupBy("grp", "a").agg(F.sum("w").alias("degree"))
-    walk = cut_lineage(walk.join(degree, ["grp", "a"]).select("grp", "a", "b", (F.col("w") / F.col("degree")).alias("p"), "degree"))
-
-    names = [f"v{i}" for i in range(vectors)]
-    start = [F.col("degree"), *[(F.pmod(F.xxhash64("a", F.lit(i)), F.lit(1 << 20)) / float(1 << 20)) for i in range(1, vectors)]]
-    own = walk.where(F.col("a") == F.col("b"))
-    state = own.select("grp", F.col("a").alias("b"), *[s.alias(v) for s, v in zip(start, names)])
-    for _ in range(iterations):
-        moved = walk.select("grp", "a", "b", "p").join(state, ["grp", "b"])
-        state = moved.groupBy("grp", F.col("a").alias("_a")).agg(*[F.sum(F.col("p") * F.col(v)).alias(v) for v in names]).withColumnRenamed("_a", "b")
-    return state.withColumnRenamed("b", "low").join(own.select("grp", F.col("a").alias("low"), "degree"), ["grp", "low"])
-
-
-def k_means(embedding: DataFrame, names: list[str], clusters: int = CLUSTERS, rounds: int = LLOYD) -> DataFrame:
-    """``embedding`` with ``part``, the number of its cluster within its ``grp``.
-
-    The centres of a group are one short row, joined to its nodes."""
-    spread = embedding.groupBy("grp").agg(*[F.avg(v).alias(f"m_{v}") for v in names], *[F.stddev_pop(v).alias(f"s_{v}") for v in names])
-    scaled = [F.coalesce(F.try_divide(F.col(v) - F.col(f"m_{v}"), F.col(f"s_{v}")), F.lit(0.0)) for v in names]
-    nodes = cut_lineage(embedding.join(spread, "grp").select(*embedding.columns, F.array(*scaled).alias("_z")))
-    seeds = Window.partitionBy("grp").orderBy(F.xxhash64("low"), "low")
-    centres = nodes.select("grp", "low", "_z").withColumn("_c", F.row_number().over(seeds)).where(F.col("_c") <= clusters).select("grp", "_c", "_z")
-    for turn in range(rounds):
-        lists = centres.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("_c", "_z"))).alias("_centres"))
-        away = lambda c: F.aggregate(F.zip_with("_z", c["_z"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-        nearest = F.array_min(F.transform("_centres", lambda c: F.struct(away(c).alias("d"), c["_c"].alias("c"))))["c"]
-        assigned = nodes.join(lists, "grp").withColumn("part", nearest).drop("_centres")
-        if turn < rounds - 1:
-            means = assigned.groupBy("grp", F.col("part").alias("_c")).agg(*[F.avg(F.col("_z")[i]).alias(f"_m{i}") for i in range(len(names))])
-            centres = means.select("grp", "_c", F.array(*[f"_m{i}" for i in range(len(names))]).alias("_z"))
-    return assigned.drop("_z")
-
-
-def _pieces(part: pd.DataFrame) -> pd.DataFrame:
-    """Connected pieces of the nodes of one tile and cluster: ``low`` and its ``root``."""
-    parent: dict[int, int] = {}
+def start_vectors(nodes: np.ndarray) -> np.ndarray:
+    """Uniform numbers from the names of the nodes, the same in every run and partitioning."""
+    v = nodes.astype(np.uint64)[:, None] + (np.arange(1, VECTORS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        v = (v ^ (v >> np.uint64(shift))) * np.uint64(factor)
+    return (v ^ (v >> np.uint64(31))) / 2.0**64
+
+
+def power_iteration(a: np.ndarray, b: np.ndarray, w: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The vectors ``start`` after as many steps of the lazy walk over the links ``a``-``b``
+    with affinities ``w`` as they take to settle.
+
+    Few nodes: the walk is squared, so that each turn doubles the steps. Many: step by step."""
+    m = len(start)
+    if m <= DENSE:
+        walk = np.zeros((m, m))
+        np.add.at(walk, (a, b), w)
+        walk += walk.T
+        walk = walk / (2 * walk.sum(1, keepdims=True)) + np.eye(m) / 2
+        state = walk @ start
+        for _ in range(DOUBLINGS):
+            walk = walk @ walk
+            walk /= walk.sum(1, keepdims=True)
+            last, state = state, walk @ start
+            if np.abs(state - last).max() < SETTLED:
+                break
+        return state
+    at, to, p = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
+    p = p / (2 * np.bincount(at, p, m))[at]
+    state = start
+    for turn in range(STEPS):
+        last = state
+        state = state / 2 + np.stack([np.bincount(at, p * v[to], m) for v in state.T], 1)
+        if turn % 16 == 15 and np.abs(state - last).max() < SETTLED:
+            break
+    return state
+
+
+def k_means(embedding: np.ndarray) -> np.ndarray:
+    """The number of each node's cluster. A centre starts in every box of side ``BOX`` that
+    holds a node, so there are as many as there are places where the vectors settled."""
+    _, first, label = np.unique(np.round(embedding / BOX), axis=0, return_index=True, return_inverse=True)
+    label = label.ravel()
+    centres = embedding[first]
+    for _ in range(LLOYD):
+        step = max(1, 4_000_000 // len(centres))
+        for i in range(0, len(embedding), step):
+            label[i : i + step] = ((embedding[i : i + step, None, :] - centres[None, :, :]) ** 2).sum(-1).argmin(1)
+        _, label = np.unique(label, return_inverse=True)
+        size = np.bincount(label)
+        centres = np.stack([np.bincount(label, v) / size for v in embedding.T], 1)
+    return label
+
+
+def doubtful(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which nodes lie in a cluster that a link leaves, or whose links do not reach all of it from its first node."""
+    across = label[a] != label[b]
+    _, first = np.unique(label, return_index=True)
+    reached = np.zeros(len(label), bool)
+    reached[first] = True
+    p, q = a[~across], b[~across]
+    while True:
+        new = np.concatenate([q[reached[p] & ~reached[q]], p[reached[q] & ~reached[p]]])
+        if not len(new):
+            break
+        reached[new] = True
+    bad = np.zeros(int(label.max()) + 1, bool)
+    bad[label[a[across]]] = bad[label[b[across]]] = True
+    bad[label[~reached]] = True
+    return bad[label]
+
+
+def mended(label: np.ndarray, a: np.ndarray, b: np.ndarray, doubt: np.ndarray) -> np.ndarray:
+    """Doubtful clusters cut where no link holds them together, and joined where one does."""
+    parent = np.arange(len(label))
 
     def root(v: int) -> int:
-        while parent.setdefault(v, v) != v:
+        while parent[v] != v:
             parent[v] = parent[parent[v]]
             v = parent[v]
         return v
 
-    for a, b in zip(part["a"], part["b"]):
-        ra, rb = root(a), root(b)
+    for i in np.flatnonzero(doubt[a]):
+        ra, rb = root(a[i]), root(b[i])
         if ra != rb:
             parent[max(ra, rb)] = min(ra, rb)
-    grp = part["grp"].iloc[0]
-    nodes = list(parent)
-    return pd.DataFrame({"grp": [grp] * len(nodes), "low": nodes, "root": [root(v) for v in nodes]})
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """``grp``, ``node``, ``root``: the smallest node of each component, for nodes that
-    have an edge (alternating large and small stars; Kiveris et al. 2014)."""
-
-    def changed(stars: DataFrame) -> tuple:
-        return tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("grp", "u", "v").cast("decimal(38,0)"))).first())
-
-    stars = cut_lineage(edges.select("grp", F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
-    last = None
-    while (now := changed(stars)) != last:
-        last = now
-        both = stars.unionByName(stars.select("grp", F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("grp", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, ["grp", "u"]).select("grp", F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select("grp", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("grp", "u").agg(F.min("v").alias("m"))
-        joined = down.join(least, ["grp", "u"])
-        small = joined.select("grp", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("grp", "u", F.col("m").alias("v")))
-        stars = cut_lineage(small.where("u <> v").distinct())
-    return stars.select("grp", F.col("u").alias("node"), F.col("v").alias("root"))
-
-
-def similarity_groups(df: DataFrame, group: str, key: str, x: str, y: str, reach: float, least: int) -> Clustering:
+    own = np.array([root(v) for v in np.flatnonzero(doubt)], dtype=label.dtype)
+    out = label + len(label)
+    out[doubt] = own
+    return out
+
+
+def settle(nodes: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, repair: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """For linked ``nodes`` (links by place) the least node of each one's cluster, and which were mended."""
+    label = k_means(power_iteration(a, b, w, start_vectors(nodes)))
+    doubt = doubtful(label, a, b) if repair else np.zeros(len(nodes), bool)
+    if doubt.any():
+        label = mended(label, a, b, doubt)
+    _, label = np.unique(label, return_inverse=True)
+    least = np.full(int(label.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, nodes)
+    return least[label], doubt
+
+
+def _tile(part: pd.DataFrame, repair: bool) -> pd.DataFrame:
+    nodes, ends = np.unique(part[["a", "b"]].to_numpy(np.int64).ravel(), return_inverse=True)
+    ends = ends.reshape(-1, 2)
+    cluster, doubt = settle(nodes, ends[:, 0], ends[:, 1], part["w"].to_numpy(float), repair)
+    return pd.DataFrame({"grp": part["grp"].iloc[0], "node": nodes, "part": cluster, "mended": doubt})
+
+
+def spectral_parts(ends: DataFrame, repair: bool = True) -> DataFrame:
+    """``grp``, ``low``, ``part`` (the least node of its cluster) and ``mended`` of every linked node.
+
+    ``ends`` has the links ``a``-``b`` with affinity ``w`` and the cells of both ends. The
+    vectors are spread over tiles of cells; each task iterates its share until it settles,
+    and a settled cluster goes on as one node, linked to others by the affinities summed
+    between them, over tiles ``_WIDER`` times as wide, until no link leaves a tile. Tiles
+    of the next level are shifted by half their side, so that in the end one holds all."""
+    spark = ends.sparkSession
+    tile = lambda c: F.floor(F.col(c) / _TILE).cast("bigint")
+    level = ends.select("grp", "a", "b", "w", *[tile(c).alias(c) for c in _PLACE])
+    parts = None
+    while True:
+        within = (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))
+        # Heavy work on few rows: the planner would put it into two tasks.
+        inside = level.where(within).repartition(partitions(spark), "grp", "ax", "ay")
+        made = inside.groupBy("grp", "ax", "ay").applyInPandas(lambda p: _tile(p, repair), "grp string, node bigint, part bigint, mended boolean")
+        made = cut_lineage(made)
+        if parts is None:
+            parts = made.withColumnRenamed("node", "low")
+        else:
+            upper = made.select("grp", F.col("node").alias("part"), F.col("part").alias("_up"), F.col("mended").alias("_mended"))
+            parts = parts.join(upper, ["grp", "part"], "full").select(
+                "grp", F.coalesce("low", "part").alias("low"), F.coalesce("_up", "part").alias("part"), (F.coalesce("mended", F.lit(False)) | F.coalesce("_mended", F.lit(False))).alias("mended")
+            )
+        crossing = level.where(~within)
+        for e in "ab":
+            crossing = crossing.join(made.select("grp", F.col("node").alias(e), F.col("part").alias(f"p{e}")), ["grp", e], "left")
+        crossing = crossing.select("grp", F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"), "w", *[F.floor((F.col(c) + _WIDER // 2) / _WIDER).cast("bigint").alias(c) for c in _PLACE])
+        level = cut_lineage(crossing.groupBy("grp", "a", "b", *_PLACE).agg(F.sum("w").alias("w")))
+        if level.isEmpty():
+            return parts
+
+
+def similarity_groups(df: DataFrame, group: str, key: str, x: str, y: str, reach: float, least: int, repair: bool = True) -> Clustering:
+    """``repair=False`` leaves the clusters of the embedding as they are."""
     value = lambda c: F.col(c).cast("double")
     usable = F.col(group).isNotNull() & F.col(key).isNotNull()
     for c in (x, y):
-        usable &= value(c).isNotNull() & ~F.isnan(value(c)) & (F.abs(value(c)) <= FARTHEST)
+        usable &= value(c).isNotNull() & ~F.isnan(value(c)) & (F.abs(value(c)) < float("inf"))
     points = df.where(usable).select(F.col(group).cast("string").alias("grp"), F.col(key).alias("id"), (value(x) + 0.0).alias("x"), (value(y) + 0.0).alias("y"))
-    points = cut_lineage(points.groupBy("grp", "id").agg(F.max(F.struct("x", "y")).alias("v")).select("grp", "id", "v.x", "v.y"))
+    points = points.groupBy("grp", "id").agg(F.max(F.struct("x", "y")).alias("v")).select("grp", "id", "v.x", "v.y")
+    # Far coordinates become part of the group's name; within such a group they are all the same.
+    far = {c: F.abs(c) > FARTHEST for c in "xy"}
+    names = [F.when(far[c], F.col(c).cast("string")).otherwise("") for c in "xy"]
+    points = cut_lineage(points.select(F.concat_ws("|", *names, "grp").alias("grp"), "id", *[F.when(far[c], 0.0).otherwise(F.col(c)).alias(c) for c in "xy"]))
 
     side = reach / math.sqrt(2) * (1 - 1e-9)
     here = {"cx": _level("x", side, 0), "cy": _level("y", side, 0)}
     cells = cut_lineage(_boxes(points.withColumns(here), F.col("cx"), F.col("cy")))
-    edges = cut_lineage(links(points, cells, side, reach))
-
-    names = [f"v{i}" for i in range(VECTORS)]
-    nodes = k_means(power_iteration(cells, edges, reach), names)
-    tile = {"tx": F.floor(F.col("cx") / _TILE), "ty": F.floor(F.col("cy") / _TILE)}
-    nodes = cut_lineage(nodes.join(cells.select("grp", "low", "cx", "cy", "n", "mx", "my"), ["grp", "low"]).withColumns(tile).select("grp", "low", "n", "mx", "my", "degree", "part", "tx", "ty"))
-
-    # The exact check: connected pieces of each cluster, tile by tile, then links between pieces.
-    place = ["part", "tx", "ty"]
-    ends = edges
-    for e in "ab":
-        ends = ends.join(nodes.select("grp", F.col("low").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in place]), ["grp", e])
-    inside = ends.where(" AND ".join(f"{c}_a = {c}_b" for c in place))
-    pieces = inside.groupBy("grp", *[f"{c}_a" for c in place]).applyInPandas(lambda p: _pieces(p[["grp", "a", "b"]]), "grp string, low bigint, root bigint")
-    pieces = cut_lineage(nodes.select("grp", "low").join(pieces, ["grp", "low"], "left").select("grp", "low", F.coalesce("root", "low").alias("root")))
-    across = ends.where("NOT (" + " AND ".join(f"{c}_a = {c}_b" for c in place) + ")").select("grp", "a", "b")
+    ends = links(points, cells, side, reach)
     for e in "ab":
-        across = across.join(pieces.select("grp", F.col("low").alias(e), F.col("root").alias(f"r{e}")), ["grp", e])
-    joined = connected(across.select("grp", F.col("ra").alias("a"), F.col("rb").alias("b")))
-    label = pieces.join(joined.select("grp", F.col("node").alias("root"), F.col("root").alias("whole")), ["grp", "root"], "left")
-    label = label.select("grp", "low", F.coalesce("whole", "root").alias("cluster"))
-
-    sizes = nodes.join(label, ["grp", "low"]).groupBy("grp", "cluster").agg(F.sum("n").alias("size")).where(F.col("size") >= least)
-    kept = nodes.join(label, ["grp", "low"]).join(sizes, ["grp", "cluster"])
-    of = points.withColumns(here).join(cells.select("grp", "cx", "cy", "low"), ["grp", "cx", "cy"])
+        ends = ends.join(cells.select("grp", F.col("low").alias(e), F.col("cx").alias(f"{e}x"), F.col("cy").alias(f"{e}y"), F.col("n").alias(f"n{e}"), F.col("mx").alias(f"x{e}"), F.col("my").alias(f"y{e}")), ["grp", e])
+    square = F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2)
+    weight = F.sqrt(F.col("na").cast("double") * F.col("nb")) * F.exp(-square / (2 * reach * reach))
+    ends = cut_lineage(ends.select("grp", "a", "b", *_PLACE, weight.alias("w")))
+
+    parts = spectral_parts(ends, repair)
+    degree = ends.select("grp", F.explode(F.array("a", "b")).alias("low"), "w").groupBy("grp", "low").agg(F.sum("w").alias("degree"))
+    nodes = cells.select("grp", "low", "cx", "cy", "n", "mx", "my").join(parts, ["grp", "low"], "left").join(degree, ["grp", "low"], "left")
+    nodes = cut_lineage(nodes.select(
+        "grp", "low", "cx", "cy", "n", "mx", "my", (F.coalesce("degree", F.lit(0.0)) + F.col("n")).alias("degree"),
+        F.coalesce("part", "low").alias("cluster"), F.coalesce("mended", F.lit(False)).alias("mended"),
+    ))
+    sizes = nodes.groupBy("grp", "cluster").agg(F.sum("n").alias("size")).where(F.col("size") >= least)
+    kept = nodes.join(sizes, ["grp", "cluster"])
+    of = points.withColumns(here).join(kept, ["grp", "cx", "cy"])
     square = F.pow(F.col("x") - F.col("mx"), 2) + F.pow(F.col("y") - F.col("my"), 2)
     affinity = F.col("degree") / F.sqrt(F.col("n")) * F.exp(-square / (2 * reach * reach))
-    members = of.join(kept, ["grp", "low"]).select("grp", "id", "cluster", "part", affinity.alias("affinity"))
-    return Clustering(members, sizes)
+    own = F.regexp_replace("grp", r"^[^|]*\|[^|]*\|", "").alias("grp")
+    return Clustering(of.select(own, "id", "cluster", "mended", affinity.alias("affinity")), sizes.select(own, "cluster", "size"))
 
 
 def typical(clustering: Clustering, count: int) -> DataFrame:

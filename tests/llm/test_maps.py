@@ -1,6 +1,6 @@
 """Problems 3 and 7 against brute force and at their edges."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -75,6 +75,54 @@ def test_hot_point_and_empty(spark):
     assert made.members.count() == 0 and clusters.typical(made, 3).count() == 0
 
 
+def test_far_coordinates_are_similar_only_to_their_equals(spark):
+    far = [("r|1", i, 1e12, 0.1 * i) for i in range(6)] + [("r|1", 10 + i, 1e12 + 1, 0.0) for i in range(5)] + [("r|1", 20 + i, -1e300, 1e300) for i in range(5)] + [("r|1", 30 + i, 0.0, 0.0) for i in range(5)]
+    made, got = groups(spark, far)
+    assert got == {(0, i) for i in range(1, 6)} | {(b, b + i) for b in (10, 20, 30) for i in range(1, 5)}
+    assert {r["grp"] for r in made.groups.collect()} == {"r|1"} and made.members.count() == 21
+
+
+def pair_shares(got, true):
+    """Precision and recall over pairs of rows in one group."""
+    pairs = lambda labels: sum(n * (n - 1) // 2 for n in Counter(labels).values())
+    both = pairs((got[k], true[k]) for k in true)
+    return both / max(1, pairs(got.values())), both / max(1, pairs(true.values()))
+
+
+def test_clusters_of_the_embedding_alone(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.random((60, 2)) * 40
+    points = [("a", i, *p) for i, p in enumerate(np.vstack([c + rng.normal(size=(40, 2)) * 0.2 for c in centres]))]
+    points += [("a", 5_000 + i, -20 + 0.19 * i, 3.0) for i in range(300)]
+    label = lambda repair: {(r["grp"], r["id"]): r["cluster"] for r in clusters.similarity_groups(frame(spark, points), "run", "row", "x", "y", 0.2, 1, repair).members.collect()}
+    precision, recall = pair_shares(label(False), label(True))
+    assert precision >= 0.9 and recall >= 0.9
+    assert not clusters.similarity_groups(frame(spark, points), "run", "row", "x", "y", 0.2, 1).members.where("mended").count()
+
+
+def two_chains(length=40):
+    a = np.array([*range(length - 1), *range(length, 2 * length - 1)])
+    return np.arange(10, 10 + 2 * length), a, a + 1, np.ones(len(a))
+
+
+def test_k_means_decides_what_reaches_the_repair(monkeypatch):
+    nodes, a, b, w = two_chains()
+    least, doubt = clusters.settle(nodes, a, b, w)
+    assert not doubt.any() and set(least[:40]) == {10} and set(least[40:]) == {50}
+    for wrong in (np.zeros(80, int), np.arange(80)):
+        monkeypatch.setattr(clusters, "k_means", lambda e, wrong=wrong: wrong)
+        again, doubt = clusters.settle(nodes, a, b, w)
+        assert doubt.any() and (again == least).all()
+        assert (clusters.settle(nodes, a, b, w, repair=False)[0] != least).any()
+
+
+def test_steps_settle_where_squaring_is_too_wide(monkeypatch):
+    nodes, a, b, w = two_chains(20)
+    monkeypatch.setattr(clusters, "DENSE", 8)
+    state = clusters.power_iteration(a, b, w, clusters.start_vectors(nodes))
+    assert np.ptp(state[:20], axis=0).max() < 1e-6 and np.ptp(state[20:], axis=0).max() < 1e-6 and np.abs(state[0] - state[20]).max() > 1e-3
+
+
 def brute_nearest(points, k):
     by, out = defaultdict(dict), {}
     for run, row, x, y in points:
