@@ -7,6 +7,7 @@ from collections import Counter
 from re import _constants as sre
 from re._parser import parse
 
+import numpy as np
 import pytest
 
 from strandloom.llm import leakage, packing, residue, texts
@@ -32,41 +33,69 @@ def best_fit_decreasing(sizes, capacity):
     return opened
 
 
-def test_steps_equal_best_fit_decreasing():
+def test_sweep_equals_best_fit_within_a_range():
     rng = random.Random(3)
-    for _ in range(150):
-        capacity = rng.choice([1, 5, 20, 100, 2_048])
-        sizes = [rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(1, max(1, capacity // 8)) for _ in range(rng.randint(0, 300))]
-        used, placed = Counter(), Counter()
-        for size, first, end, start, each in packing.best_fit(Counter(sizes), capacity):
+    for _ in range(100):
+        sizes = np.array(sorted((rng.randint(20, 60) for _ in range(rng.randint(0, 60))), reverse=True), dtype=np.int64)
+        gaps = np.array([rng.randint(1, 120) for _ in range(rng.randint(0, 40))], dtype=np.int64)
+        target, left = packing.sweep(sizes, gaps, 20)
+        open_, want = sorted(gaps.tolist()), []
+        for s in sizes.tolist():
+            at = bisect.bisect_left(open_, s)
+            want.append(open_.pop(at) if at < len(open_) else None)
+            if want[-1] is not None:
+                bisect.insort(open_, want[-1] - s)
+        assert (target >= 0).tolist() == [w is not None for w in want]
+        assert sorted(left.tolist()) == open_
+
+
+def test_runs_give_each_rank_one_gap():
+    rng = random.Random(4)
+    for _ in range(100):
+        cells = [(n, s, rng.randint(0, 30), 100 - 10 * n, rng.randint(0, 12), 100 - 10 * n) for n in range(8) for s in range(rng.randint(1, 3))]
+        room, seen = {(n, s): (g, least) for n, s, _, _, g, least in cells}, Counter()
+        for number, salt, first, end, n, s, at, each in packing.runs(cells):
+            greatest = next(c[3] for c in cells if c[:2] == (number, salt))
+            assert n < number and each * greatest <= room[n, s][1] and first < end
             for rank in range(first, end):
-                used[start + (rank - first) // each] += size
-                placed[size] += 1
-        assert placed == Counter(sizes) and max(used.values(), default=0) <= capacity
-        assert len(used) == best_fit_decreasing(sizes, capacity)
+                seen[n, s, at + (rank - first) // each] += 1
+                assert seen[n, s, at + (rank - first) // each] <= each and at + (rank - first) // each < room[n, s][0]
 
 
-def test_packing(spark):
-    rows = [(1, None), (2, ""), (3, "word " * 5_000), (4, "a b c"), (5, "a b c"), (5, "d"), (None, "e f")] + [(10 + i, "tok " * (i % 40 + 1)) for i in range(300)]
-    got = packing.pack(documents(spark, rows), "doc", "text", capacity=64).collect()
+def test_ranges_follow_the_counts():
+    made = packing.ranges({100: 5, 90: 4, 50: 45, 20: 3, 10: 3}, 10)
+    assert made == [(100, 0, 90, 1), (90, 0, 90, 1), (50, 1, 50, 5), (20, 2, 10, 1), (10, 2, 10, 1)]
+    assert packing.ranges({}, 10) == []
+
+
+def check_containers(got, n_rows, capacity):
     used = Counter()
     for r in got:
         if r["container"] is not None:
             used[r["container"]] += r["n_tokens"]
-    assert max(used.values()) <= 64 and sorted(used) == list(range(len(used)))
-    assert sum(r["piece"] == 0 for r in got) == len(rows)
+        assert (r["container"] is None) == (r["n_tokens"] == 0) and (r["n_pieces"] == 1 or r["n_tokens"] == capacity or r["piece"] == r["n_pieces"] - 1)
+    assert max(used.values()) <= capacity
+    assert sum(r["piece"] == 0 for r in got) == n_rows
+    best = best_fit_decreasing([r["n_tokens"] for r in got if r["n_tokens"]], capacity)
+    assert len(used) <= max(best + 1, 1.01 * best)
+
+
+@pytest.mark.parametrize("wide", [20_000, 60])
+def test_packing(spark, monkeypatch, wide):
+    monkeypatch.setattr(packing, "_RANGE", wide)
+    rows = [(1, None), (2, ""), (3, "word " * 5_000), (4, "a b c"), (5, "a b c"), (5, "d"), (None, "e f")] + [(10 + i, "tok " * (i % 40 + 1)) for i in range(300)]
+    got = packing.pack(documents(spark, rows), "doc", "text", capacity=64).collect()
+    check_containers(got, len(rows), 64)
     long = sorted((r["piece"], r["from_token"], r["n_tokens"]) for r in got if r["doc"] == 3)
     assert [p for p, _, _ in long] == list(range(len(long))) and all(f == 64 * p for p, f, _ in long) and all(n == 64 for _, _, n in long[:-1])
     assert [(r["container"], r["n_tokens"]) for r in got if r["doc"] in (1, 2)] == [(None, 0)] * 2
-    assert len(used) == best_fit_decreasing([r["n_tokens"] for r in got if r["n_tokens"]], 64)
     assert packing.pack(documents(spark, rows).limit(0), "doc", "text").count() == 0
 
 
-def test_ranks_of_a_hot_size_are_complete(spark, monkeypatch):
-    monkeypatch.setattr(packing, "_RANKED", 100)
+def test_a_hot_size_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_RANGE", 100)
     got = packing.pack(documents(spark, [(i, "same words here") for i in range(1_000)]), "doc", "text", capacity=30).collect()
-    per = Counter(r["container"] for r in got)
-    assert set(per.values()) == {30 // got[0]["n_tokens"]} and len(got) == 1_000
+    check_containers(got, 1_000, 30)
 
 
 # --- 9 ---
