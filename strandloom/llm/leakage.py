@@ -6,8 +6,12 @@ is untouched. As a passage may begin anywhere in an item, the pieces of all its
 starts are looked up: every run of PASSAGE / (BUDGET + 1) words. An exact hit fixes
 item, document and offset. There, words are aligned within the shift that the
 budget allows, which rules out most hits, and what remains is verified with Myers'
-bit-parallel edit distance over words. Longer passages, whose budget grows by one
-word in eight, are tried as well.
+bit-parallel edit distance over words.
+
+Longer passages may have one edit in eight words. Cut into stretches of PASSAGE words and a
+rest, one of three stretches or more is itself a passage, and words past a multiple
+of eight add nothing to the budget: so of all longer passages only those of ``LENGTHS`` words
+need a check of their own. The work is in proportion to the words of the item, however long.
 
 Documents stream through once, whole; nothing of them is shuffled or collected. The
 test items go to the workers in blocks of at most ``BLOCK_WORDS`` words, one pass
@@ -33,6 +37,10 @@ PASSAGE = 24
 ONE_IN = 8
 BUDGET = PASSAGE // ONE_IN
 PIECE = PASSAGE // (BUDGET + 1)
+#: Lengths of passages; each passage of another length holds one of these.
+LENGTHS = (PASSAGE, PASSAGE + ONE_IN, PASSAGE + 2 * ONE_IN, 2 * PASSAGE + 2 * ONE_IN)
+#: Words by which a passage can shift against one of its pieces.
+SHIFT = LENGTHS[-1] // ONE_IN
 #: Least words in runs among some PASSAGE words of a passage of any length.
 IN_RUNS = PASSAGE - 10
 BLOCK_WORDS = 2_000_000
@@ -123,9 +131,8 @@ class Items:
     @staticmethod
     def _passage(item: np.ndarray, document: np.ndarray, shift: int) -> tuple[int, int, int] | None:
         length = len(item)
-        slack = length // ONE_IN
-        low = shift - slack
-        padded = np.zeros(length + 2 * slack, np.int64)
+        low = shift - SHIFT
+        padded = np.zeros(length + 2 * SHIFT, np.int64)
         a, b = max(0, low), min(len(document), low + len(padded))
         padded[a - low : b - low] = document[a:b]
         hits = np.lib.stride_tricks.sliding_window_view(padded, length) == item
@@ -142,19 +149,14 @@ class Items:
         if (held[PASSAGE:] - held[:-PASSAGE]).max() < IN_RUNS:
             return None
         upto = np.concatenate([[0], np.cumsum(~same)])
-        missing = upto[None, :] - upto[:, None]
-        size = np.arange(length + 1)[None, :] - np.arange(length + 1)[:, None]
-        start, end = np.nonzero((size >= PASSAGE) & (missing <= size // ONE_IN))
-        if not len(start):
-            return None
-        spare = (size // ONE_IN - missing)[start, end]
-        for k in np.lexsort((size[start, end], -spare)):
-            s, e = int(start[k]), int(end[k])
-            allowed = (e - s) // ONE_IN
-            region = padded[max(0, s + slack - allowed) : e + slack + allowed]
-            edits, _ = least_distance(item[s:e].tolist(), region.tolist())
-            if edits <= allowed:
-                return s, e - s, edits
+        for size in LENGTHS:
+            allowed = size // ONE_IN
+            missing = upto[size:] - upto[:-size]
+            for s in np.argsort(missing, kind="stable")[: np.count_nonzero(missing <= allowed)].tolist():
+                region = padded[max(0, s + SHIFT - allowed) : s + size + SHIFT + allowed]
+                edits, _ = least_distance(item[s : s + size].tolist(), region.tolist())
+                if edits <= allowed:
+                    return s, size, edits
         return None
 
 

@@ -6,13 +6,14 @@ import html
 import re
 import unicodedata
 
-_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,300})?/?>")
-_LINK = re.compile(r"!?\[([^\[\]]{1,300})\]\([^()\s]{1,300}\)")
+_TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>")
+_LINK = re.compile(r"!?\[([^\[\]]+)\]\([^()\s]+\)")
 _UNICODE_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
-_URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+# Printable ASCII, ends of lines, and UTF-8 of two or more bytes; "50%de" is none.
+_URL_ESCAPE = re.compile(r"(?:%(?:[2-7][0-9A-Fa-f]|0[9AaDd]|[C-Fc-f][0-9A-Fa-f](?:%[89ABab][0-9A-Fa-f])+))+")
 _LINE_ESCAPE = re.compile(r"\\[nrt]")
 _HYPHENATED = re.compile(r"(?<=\w)[-‐]\s*\n[\s>|#*]*(?=\w)")
-_JSON_EDGE = re.compile(r"\{?\s*\"\w{1,40}\"\s*:\s*\"|\"\s*[,}]")
+_JSON_EDGE = re.compile(r"\{?\s*\"\w+\"\s*:\s*\"|\"\s*[,}]")
 
 
 def unescape(text: str) -> str:
@@ -20,7 +21,7 @@ def unescape(text: str) -> str:
     if "\\" in text:
         text = _UNICODE_ESCAPE.sub(lambda m: chr(int(m[1], 16)), _LINE_ESCAPE.sub("\n", text)).replace('\\"', '"').replace("\\/", "/")
         text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
-    if "%20" in text or "%0A" in text:
+    if "%" in text:
         text = _URL_ESCAPE.sub(lambda m: bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "replace"), text)
     return html.unescape(html.unescape(text)) if "&" in text else text
 

@@ -171,6 +171,32 @@ def test_blocks_of_items(spark, monkeypatch):
     assert leaks(spark, [(1, items[0][1] + " " + items[4][1]), (2, items[2][1])], items) == {(0, 1), (4, 1), (2, 2)}
 
 
+def test_long_items_tags_and_links(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randint(0, 3_000)}" for _ in range(20_000)]
+    item = [f"v{i}" for i in range(30)]
+    tag = "<a href='" + "x" * 400 + "' title='y'>"
+    docs = [
+        (1, " ".join(long[7_000:7_030])), (2, "a b " + " ".join(long[100:106]) + " c d"), (3, " ".join(item[:12]) + f" {tag}" + " ".join(item[12:]) + "</a>"),
+        (4, " ".join(item[:12]) + " [" + " ".join(item[12:20]) + "](http://" + "z" * 500 + ") " + " ".join(item[20:])),
+        (5, " ".join(long)), (6, "%20".join(item)), (7, "x " * 30_000 + " ".join(item)),
+    ]
+    assert leaks(spark, docs, [(50, " ".join(long)), (51, " ".join(item))]) == {(50, 1), (50, 5), (51, 3), (51, 4), (51, 6), (51, 7)}
+
+
+def test_every_passage_holds_one_of_the_lengths():
+    """Any number of edits within one in eight, anywhere in a passage of 24 to 130 words."""
+    rng = random.Random(2)
+    for n in range(24, 131):
+        for _ in range(6):
+            edits = rng.choice((n // 8, n // 8, max(0, n // 8 - 1)))
+            at = rng.sample(range(n), edits) if rng.random() < 0.7 else sorted({min(n - 1, i * n // max(1, edits) + rng.randint(0, 2)) for i in range(edits)})
+            item = [f"i{k}" for k in range(n)]
+            text = [f"{'c' if k in at else 'i'}{k}" for k in range(n)]
+            index = leakage.Items([(1, " ".join(item))])
+            assert index.leaks(" ".join(["a", "b", *text, "c"])), (n, at)
+
+
 # --- 10 ---
 
 CASES = [
