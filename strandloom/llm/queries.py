@@ -167,7 +167,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = loci(spark, folder, ["row_index", "loaded_at", *LOCUS, *RANKS])
     row = F.col("row_index")
     fields = [survivors.Field("survivor_row", row, True), survivors.Field("mapq_row", F.when(F.col("mapq").isNotNull(), row), True), survivors.Field("dp_row", F.when(F.col("dp").isNotNull(), row), True)]
-    best = survivors.survivors(rows, LOCUS, "row_index", fields, rank=[F.col(c) for c in RANKS])
+    best = survivors.survivors(rows, LOCUS, "row_index", fields, [F.col(c) for c in RANKS])
     missing = {c: F.coalesce(c, F.lit(-1)).cast("bigint") for c in ("mapq_row", "dp_row")}
     return best.where(F.col("n_records") > 1).withColumns(missing).select("survivor_row", "mapq_row", "dp_row")
 
@@ -194,7 +194,7 @@ def p4_best_values(spark: SparkSession, folder: str) -> DataFrame:
         trust = trust.when(F.col("st") == tag, weight)
     vote = trust.otherwise(OTHER_TRUST) * survivors.decay(F.col("observed_at"), F.lit(_NEWEST).cast("timestamp"), HALF_LIFE_DAYS)
     fields = [survivors.Field("snvq", F.round("snvq", 1)), *[survivors.Field(c, F.col(c).cast("double")) for c in ("mapq", "dp")]]
-    return survivors.survivors(rows, LOCUS, "row_index", fields, vote)
+    return survivors.survivors(rows, LOCUS, "row_index", fields, [F.coalesce(vote, F.lit(1.0))])
 
 
 # --- Problem 5: stable sample -------------------------------------------------------------

@@ -1,10 +1,13 @@
 """Problem 4: the best representative of each group of duplicates.
 
-Method: fields are unpivoted to long rows (group, field, value, vote). A vote is
+Method: fields are unpivoted to long rows (group, field, value, votes). A vote is
 the trust in the row's source times a decay with its age; votes are summed per
 normalised value, the winner of each field is chosen by max_by, and the winners
-are pivoted back to one record per group. Where the preference is an explicit
-ranking of the rows, ``rank`` stands before the votes.
+are pivoted back to one record per group.
+
+A row can cast several votes, the first of which decides unless it ties: trust by one
+quality, then by the next. So an explicit ranking of rows is a list of votes without
+decay; a null vote is below every other.
 
 No step gathers a group: sums and max_by run before each shuffle, so a group
 with a third of all rows sends one row per value and task.
@@ -40,14 +43,14 @@ def decay(at: Column, newest: Column, half_life_days: float) -> Column:
     return F.pow(F.lit(0.5), days / half_life_days)
 
 
-def survivors(df: DataFrame, groups: Sequence[str], record: str, fields: Sequence[Field], vote: Column | None = None, rank: Sequence[Column] = ()) -> DataFrame:
+def survivors(df: DataFrame, groups: Sequence[str], record: str, fields: Sequence[Field], votes: Sequence[Column] = ()) -> DataFrame:
     """``groups``, ``n_records`` and the winning value of each field.
 
-    ``vote`` weighs a row (1 where it is null or absent); ``rank`` are orderable
-    expressions, greatest first. All fields share one value type.
+    ``votes`` weigh a row, the first first (one vote of 1 where there are none). All fields share one value type.
     """
-    vote = F.lit(1.0) if vote is None else F.coalesce(vote, F.lit(1.0))
-    order = F.struct(*[c.alias(f"_{i}") for i, c in enumerate([*rank, vote, -F.col(record)])])
+    votes = list(votes) or [F.lit(1.0)]
+    last = len(votes)
+    order = F.struct(*[c.alias(f"_{i}") for i, c in enumerate([*votes, -F.col(record)])])
     keyed = df.where(F.greatest(*[F.col(g).isNull() for g in [*groups, record]]) == F.lit(False)) if len(groups) else df
     cells = [F.struct(F.lit(i).alias("field"), f.value.alias("value")) for i, f in enumerate(fields)]
     # One more cell per row, so that groups whose every field is unusable stay and records can be counted.
@@ -55,14 +58,12 @@ def survivors(df: DataFrame, groups: Sequence[str], record: str, fields: Sequenc
     long = keyed.select(*groups, F.inline(F.filter(F.array(*cells), lambda c: c["value"].isNotNull() | (c["field"] < 0))), order.alias("order"))
     size = F.when(F.col("field") < 0, 1)
     if all(f.own for f in fields):
-        # Each value has one row: its sum is its vote, which ``order`` holds.
+        # A value that names its record has one voter: the sums are its votes, which ``order`` holds.
         tallied, count, best = long, F.count(size), F.col("order")
     else:
-        last = len(rank)
-        tallied = long.groupBy(*groups, "field", "value").agg(
-            F.sum(f"order._{last}").alias("votes"), F.max("order").alias("order"), F.count(size).alias("n")
-        )
-        best = F.struct(*[F.col(f"order._{i}") for i in range(last)], F.round("votes", 9), F.col(f"order._{last + 1}"))
+        sums = [F.sum(f"order._{i}").alias(f"_v{i}") for i in range(last)]
+        tallied = long.groupBy(*groups, "field", "value").agg(*sums, F.max("order").alias("order"), F.count(size).alias("n"))
+        best = F.struct(*[F.round(f"_v{i}", 9) for i in range(last)], F.col(f"order._{last}"))
         count = F.sum("n")
     winners = [F.max_by("value", F.when(F.col("field") == i, best)).alias(f.name) for i, f in enumerate(fields)]
     return tallied.groupBy(*groups).agg(count.alias("n_records"), *winners)

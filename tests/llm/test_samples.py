@@ -111,7 +111,7 @@ def test_rows_within_a_category_are_equally_likely(spark):
 def test_votes_by_trust_and_age(spark):
     rows = [("l", 1, 5.0, 1.0, None), ("l", 2, 7.0, 0.4, 9.0), ("l", 3, 7.0, 0.4, None), ("m", 4, 1.0, None, None), (None, 5, 1.0, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "g string, id bigint, v double, vote double, value double").withColumn("order", F.lit(0)).withColumn("field", F.lit("z"))
-    best = survivors.survivors(df, ["g"], "id", [survivors.Field("v", F.col("v")), survivors.Field("w", F.col("value"))], F.col("vote"))
+    best = survivors.survivors(df, ["g"], "id", [survivors.Field("v", F.col("v")), survivors.Field("w", F.col("value"))], [F.col("vote")])
     assert {r["g"]: (r["n_records"], r["v"], r["w"]) for r in best.collect()} == {"l": (3, 5.0, 9.0), "m": (1, 1.0, None)}
     tie = survivors.survivors(df.where("id IN (2, 3)"), ["g"], "id", [survivors.Field("id_", F.col("id"), True)])
     assert tie.first()["id_"] == 2
@@ -122,11 +122,24 @@ def test_votes_by_trust_and_age(spark):
 
 def test_hot_group_of_ranked_rows(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("g"), "id", (F.col("id") % 1_000).alias("q"))
-    best = survivors.survivors(df, ["g"], "id", [survivors.Field("row", F.col("id"), True)], rank=[F.col("q")])
+    best = survivors.survivors(df, ["g"], "id", [survivors.Field("row", F.col("id"), True)], [F.col("q")])
     hot = best.where("g = 'hot'").first()
     assert (hot["n_records"], hot["row"]) == (6_667, 999)
 
 
+def test_votes_one_after_another(spark):
+    """A ranking as votes: summed per value it gives what the single voters of a record id give."""
+    rng = np.random.default_rng(8)
+    pick = lambda *v: v[rng.integers(len(v))]
+    rows = [("abc"[i % 3] + str(i % 40), i, pick(None, 1.0, 2.0, 2.5), pick(None, 3.0, 4.0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, id bigint, a double, b double")
+    fields = lambda own: [survivors.Field("row", F.col("id"), own), survivors.Field("with_b", F.when(F.col("b").isNotNull(), F.col("id")), own)]
+    got = [sorted(map(tuple, survivors.survivors(df, ["g"], "id", fields(own), [F.col("a"), F.col("b")]).collect())) for own in (True, False)]
+    best = lambda g, ok: max((r for r in rows if r[0] == g and ok(r)), key=lambda r: (r[2] or 0, r[3] or 0, -r[1]), default=(0, None))[1]
+    want = sorted((g, sum(r[0] == g for r in rows), best(g, lambda r: True), best(g, lambda r: r[3] is not None)) for g in {r[0] for r in rows})
+    assert got[0] == got[1] == want
+
+
 # --- 5 ---
 
 
