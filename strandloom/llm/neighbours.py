@@ -5,7 +5,10 @@ neighbour arrays, with shard results merged. Shards are ranges of a space-fillin
 order within a group, of about ``SHARD`` vectors each, so a group of any size is
 spread over many shards. A vector first searches its own shard; the distance of its
 k-th neighbour there bounds what can still be nearer, so it is sent only to shards
-whose box comes closer than that. Every search ends with an exact check: all vectors
+whose box comes closer than that. These are found by descent through a tree of boxes (``_FAN``
+consecutive shards make a box of the next level), by equi-joins on its nodes; a shard
+asks with the reach of all its vectors but the ``_APART`` farthest, which ask for themselves, so
+one outlier does not open every shard. A shard that many others ask is searched by several tasks. Every search ends with an exact check: all vectors
 of the shard within the distance that the graph found are compared, which makes the
 result exact (``exact=False`` leaves the graph's answer as it is).
 
@@ -39,6 +42,12 @@ BEAM_BUILD = 24
 BEAM = 24
 _WAVE = 512
 _BRUTE = 512
+#: Boxes in a box of the next level of the tree over shards.
+_FAN = 32
+#: Vectors of a shard with the greatest radii, which look for other shards on their own.
+_APART = 32
+#: Shards in one list of destinations, and shards whose vectors one task takes.
+_LISTED, _ASKED = 256, 64
 
 
 def _squares(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -330,9 +339,15 @@ def nearest_vectors(df: DataFrame, group: str, key: str, coordinates: Sequence[s
             radius[who[place == k]] = d[place == k]
             top = place <= k
             data = made.pack(radius=radius, who=who[top], distance=d[top], near=near[top])
-            yield pd.DataFrame({"grp": [grp], "shard": [shard], "lower": [points.min(0)], "upper": [points.max(0)], "reach": [radius.max()], "graph": [data]})
+            by_radius = np.argsort(-radius, kind="stable")
+            far, rest = by_radius[:_APART], by_radius[_APART:]
+            asks = [{"lower": graph.points[i].tolist(), "upper": graph.points[i].tolist(), "reach": float(radius[i])} for i in far]
+            if len(rest):
+                asks.append({"lower": graph.points[rest].min(0).tolist(), "upper": graph.points[rest].max(0).tolist(), "reach": float(radius[rest].max())})
+            yield pd.DataFrame({"grp": [grp], "shard": [shard], "lower": [points.min(0)], "upper": [points.max(0)], "asks": [asks], "graph": [data]})
 
-    index = cut_lineage(nodes.mapInPandas(build, "grp string, shard int, lower array<double>, upper array<double>, reach double, graph binary"))
+    ask = "array<struct<lower: array<double>, upper: array<double>, reach: double>>"
+    index = cut_lineage(nodes.mapInPandas(build, f"grp string, shard int, lower array<double>, upper array<double>, asks {ask}, graph binary"))
 
     def own(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -341,19 +356,29 @@ def nearest_vectors(df: DataFrame, group: str, key: str, coordinates: Sequence[s
                 yield pd.DataFrame({"grp": grp, "low": shard.ids[more["who"], 0], "distance": more["distance"], "neighbour": more["near"]})
 
     entry = "grp string, low bigint, distance double, neighbour bigint"
-    boxes = index.select("grp", "shard", "lower", "upper", "reach")
-    gap = sum(
-        F.pow(F.greatest(F.col("a.lower")[i] - F.col("b.upper")[i], F.col("b.lower")[i] - F.col("a.upper")[i], F.lit(0.0)), 2)
-        for i in range(len(axes))
-    )
-    close = boxes.alias("a").join(boxes.alias("b"), (F.col("a.grp") == F.col("b.grp")) & (F.col("a.shard") != F.col("b.shard")) & (gap <= F.col("a.reach")))
-    close = close.groupBy(F.col("a.grp").alias("grp"), F.col("a.shard").alias("shard")).agg(
-        F.collect_list(F.struct(F.col("b.shard").alias("shard"), F.col("b.lower").alias("lower"), F.col("b.upper").alias("upper"))).alias("others")
+    d = range(len(axes))
+    boxes = index.select("grp", F.col("shard").cast("bigint").alias("node"), *[F.col("lower")[i].alias(f"l{i}") for i in d], *[F.col("upper")[i].alias(f"u{i}") for i in d])
+    tree = [boxes]
+    for _ in range(max(1, math.ceil(math.log(shards + 1, _FAN)))):
+        wider = [F.min(f"l{i}").alias(f"l{i}") for i in d] + [F.max(f"u{i}").alias(f"u{i}") for i in d]
+        tree.append(tree[-1].groupBy("grp", F.floor(F.col("node") / _FAN).cast("bigint").alias("node")).agg(*wider))
+    gap = sum(F.pow(F.greatest(F.col("ask.lower")[i] - F.col(f"u{i}"), F.col(f"l{i}") - F.col("ask.upper")[i], F.lit(0.0)), 2) for i in d)
+    seekers = index.select("grp", "shard", F.explode("asks").alias("ask"))
+    seekers = seekers.join(tree[-1].select("grp", F.col("node").alias("at")), "grp")  # the topmost boxes: at most ``_FAN`` of a group
+    for level in reversed(tree[:-1]):
+        below = level.withColumn("at", F.floor(F.col("node") / _FAN).cast("bigint"))
+        seekers = seekers.join(below, ["grp", "at"]).where(gap <= F.col("ask.reach")).select("grp", "shard", "ask", F.col("node").alias("at"))
+    close = seekers.where(F.col("shard") != F.col("at")).select("grp", F.col("shard"), F.col("at").cast("int").alias("other")).distinct()
+    close = cut_lineage(close)
+    asked = close.groupBy("grp", "other").agg(F.ceil(F.count(F.lit(1)) / _ASKED).cast("int").alias("parts"))
+    place = index.select("grp", F.col("shard").alias("other"), "lower", "upper").join(asked, ["grp", "other"])
+    close = close.join(place, ["grp", "other"]).groupBy("grp", "shard", F.floor(F.col("other") / _LISTED).alias("_list")).agg(
+        F.collect_list(F.struct(F.col("other").alias("shard"), "lower", "upper", "parts")).alias("others")
     )
 
     def route(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for grp, data, others in zip(part["grp"], part["graph"], part["others"]):
+            for grp, own, data, others in zip(part["grp"], part["shard"], part["graph"], part["others"]):
                 shard, more = Shard.unpack(data)
                 points, names, radius = shard.graph.points, shard.ids[:, 0], more["radius"]
                 for other in others:
@@ -361,9 +386,10 @@ def nearest_vectors(df: DataFrame, group: str, key: str, coordinates: Sequence[s
                     away = np.maximum(np.maximum(lower - points, points - upper), 0)
                     to = np.flatnonzero((away**2).sum(1) <= radius)
                     if len(to):
-                        yield pd.DataFrame({"grp": grp, "shard": np.int32(other["shard"]), "low": names[to], "point": list(points[to]), "radius": radius[to]})
+                        part_of = np.int32(own % other["parts"])
+                        yield pd.DataFrame({"grp": grp, "shard": np.int32(other["shard"]), "part": part_of, "low": names[to], "point": list(points[to]), "radius": radius[to]})
 
-    sent = index.select("grp", "shard", "graph").join(close, ["grp", "shard"]).mapInPandas(route, "grp string, shard int, low bigint, point array<double>, radius double")
+    sent = index.select("grp", "shard", "graph").join(close, ["grp", "shard"]).mapInPandas(route, "grp string, shard int, part int, low bigint, point array<double>, radius double")
 
     def foreign(queries: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(stored):
@@ -372,8 +398,9 @@ def nearest_vectors(df: DataFrame, group: str, key: str, coordinates: Sequence[s
         who, d, near = shard.nearest(np.stack(queries["point"].to_list()), k + 1, queries["radius"].to_numpy(float), exact)
         return pd.DataFrame({"grp": stored["grp"].iloc[0], "low": queries["low"].to_numpy()[who], "distance": d, "neighbour": near})
 
-    graphs = index.select("grp", "shard", "graph")
-    more = sent.groupBy("grp", "shard").cogroup(graphs.groupBy("grp", "shard")).applyInPandas(foreign, entry)
+    graphs = index.select("grp", "shard", "graph").join(asked.withColumnRenamed("other", "shard"), ["grp", "shard"])
+    graphs = graphs.select("grp", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "graph")
+    more = sent.groupBy("grp", "shard", "part").cogroup(graphs.groupBy("grp", "shard", "part")).applyInPandas(foreign, entry)
     by_node = Window.partitionBy("grp", "low").orderBy("distance", "neighbour")
     entries = index.mapInPandas(own, entry).unionByName(more).withColumn("_n", F.row_number().over(by_node)).where(F.col("_n") <= k + 1)
     lists = entries.groupBy("grp", "low").agg(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))).alias("near"))

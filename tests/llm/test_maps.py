@@ -157,6 +157,16 @@ def test_nearest_equal_brute_force_over_shards(spark, monkeypatch):
     assert nearest(spark, points, 5) == want
 
 
+def test_outliers_and_asked_shards(spark, monkeypatch):
+    """Few vectors per shard, a deep tree, outliers, and a shard that all others ask."""
+    for name, value in (("SHARD", 40), ("_FAN", 3), ("_APART", 2), ("_LISTED", 4), ("_ASKED", 2)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(11)
+    points = [("a", i, *p) for i, p in enumerate(rng.normal(size=(500, 2)))]
+    points += [("a", 1_000 + i, 1e4 * np.cos(i), 1e4 * np.sin(i)) for i in range(40)] + [("b", 3_000 + i, *p) for i, p in enumerate(rng.random((50, 2)))]
+    assert nearest(spark, points, 3) == brute_nearest(points, 3)
+
+
 def test_hot_location_and_empty(spark):
     points = [("a", i, 1.0, 2.0) for i in range(2_000)] + [("a", 5_000 + i, 1.0 + i, 2.0) for i in range(1, 5)]
     got = nearest(spark, points, 3)
