@@ -24,6 +24,7 @@ passage cannot leak; repeated rows give one row per pair; empty tables give none
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -72,6 +73,12 @@ def least_distance(pattern: list[int], text: list[int]) -> tuple[int, int]:
     return best, end
 
 
+@lru_cache(256)
+def _shifted(length: int) -> np.ndarray:
+    """Places of ``length`` words at every shift."""
+    return np.arange(2 * SHIFT + 1, dtype=np.int32)[:, None] + np.arange(length, dtype=np.int32)[None, :]
+
+
 class Items:
     """The pieces of the test items, ready for look-up."""
 
@@ -135,7 +142,7 @@ class Items:
         padded = np.zeros(length + 2 * SHIFT, np.int64)
         a, b = max(0, low), min(len(document), low + len(padded))
         padded[a - low : b - low] = document[a:b]
-        hits = np.lib.stride_tricks.sliding_window_view(padded, length) == item
+        hits = padded[_shifted(length)] == item
         same = hits.any(axis=0)
         if same.sum() < PASSAGE - BUDGET:
             return None

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
+from collections.abc import Callable
 
 _TAG = re.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>")
 _LINK = re.compile(r"!?\[([^\[\]]+)\]\([^()\s]+\)")
@@ -16,6 +18,15 @@ _HYPHENATED = re.compile(r"(?<=\w)[-‐]\s*\n[\s>|#*]*(?=\w)")
 _JSON_EDGE = re.compile(r"\{?\s*\"\w+\"\s*:\s*\"|\"\s*[,}]")
 
 
+def _characters(which: Callable[[str], bool]) -> re.Pattern:
+    """A pattern for the characters that ``which`` holds for."""
+    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if which(c)) + "]+")
+
+
+_INVISIBLE = _characters(lambda c: unicodedata.category(c) == "Cf")
+_COMBINING = _characters(lambda c: unicodedata.combining(c) != 0)
+
+
 def unescape(text: str) -> str:
     """Backslash, percent and HTML escapes as the characters they stand for."""
     if "\\" in text:
@@ -29,8 +40,7 @@ def unescape(text: str) -> str:
 def visible(text: str) -> str:
     """Without characters of no width, in one form of every character."""
     if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) != "Cf")
-        text = unicodedata.normalize("NFKC", text)
+        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
     return text
 
 
@@ -55,6 +65,6 @@ def words(text: str) -> list[str]:
         text = _LINK.sub(r"\1", text)
     text = text.casefold()
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = _COMBINING.sub("", unicodedata.normalize("NFKD", text))
     bare = ("".join(filter(str.isalnum, w)) if not w.isalnum() else w for w in text.split())
     return [w for w in bare if w]
