@@ -21,11 +21,6 @@ class Feature:
     kind: str
     values: Mapping[str, int] = field(default_factory=dict)
 
-    @property
-    def null_token(self) -> str:
-        """What null stands for: the empty text if the dictionary has it, else its first key."""
-        return "" if "" in self.values else next(iter(self.values))
-
     @property
     def embedding_width(self) -> int:
         """ENC-06."""
@@ -73,11 +68,18 @@ def train_stats(df: DataFrame, features: Sequence[str], train: Column) -> DataFr
     return _long(df, features, [(F.avg(v), F.stddev_pop(v)) for v in value])
 
 
+def null_code(feature: Feature) -> int:
+    """ENC-01: the code of the empty text; without one, that of the first value named."""
+    first, *_ = feature.values.values()
+    return feature.values.get("", first)
+
+
 def category_code(c: Column, feature: Feature) -> Column:
-    """ENC-01: null, the null token and unknown values share one code."""
-    pairs = [F.lit(x) for pair in feature.values.items() for x in pair]
-    code = F.element_at(F.create_map(*pairs), F.coalesce(c.cast("string"), F.lit(feature.null_token)))
-    return F.coalesce(code, F.lit(feature.values[feature.null_token])).cast("int")
+    """ENC-01: null and unknown values share ``null_code``."""
+    code = F.lit(None)
+    if feature.values:
+        code = F.element_at(F.create_map(*[F.lit(x) for pair in feature.values.items() for x in pair]), c.cast("string"))
+    return F.coalesce(code, F.lit(null_code(feature))).cast("int")
 
 
 def standardised(c: Column, mean: float, deviation: float) -> Column:
@@ -91,7 +93,7 @@ def kept_features(df: DataFrame, features: Sequence[Feature]) -> list[Feature]:
     checks = []
     for f in features:
         if f.kind == "c":
-            code, null = category_code(F.col(f.name), f), f.values[f.null_token]
+            code, null = category_code(F.col(f.name), f), null_code(f)
             checks.append((F.count(f.name) > 0) & ((F.min(code) != null) | (F.max(code) != null)))
         else:
             checks.append(F.count_if(~is_missing(F.col(f.name))) > 0)

@@ -16,13 +16,13 @@ from .unions import or_null
 VERSION = "VCFv4.3"
 HEADER_COLUMNS = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"
 INFO = {
-    "SNVQ": ("1", "Float", "Variant quality"),
-    "CL": ("1", "Integer", "Cluster label"),
-    "CP": ("1", "Float", "Cluster probability"),
-    "MAPQ": ("1", "Integer", "Mapping quality"),
-    "DP": ("1", "Integer", "Depth"),
-    "AF": ("1", "Float", "Raw allele fraction"),
+    "CLUSTER": ("1", "Integer", "Cluster label"),
+    "CLPROB": ("1", "Float", "Cluster membership probability"),
+    "UMAP1": ("1", "Float", "First map coordinate"),
+    "UMAP2": ("1", "Float", "Second map coordinate"),
+    "SRC_FILT": ("1", "Integer", "Filter value of the source"),
 }
+SOURCE = "strandloom"
 
 
 def export_rows(source: DataFrame, labels: DataFrame, predicate: str | None = None, only: Sequence[int] = (), without_noise: bool = False) -> DataFrame:
@@ -36,7 +36,7 @@ def export_rows(source: DataFrame, labels: DataFrame, predicate: str | None = No
         *[or_null(source, c, t) for c, t in (("snvq", "double"), ("qual", "double"), ("mapq", "int"), ("dp", "int"), ("raw_vaf", "double"), ("filt", "int"))],
     )
     own = labels.where(cluster_predicate(F.col("cluster_label"), only, without_noise))
-    own = own.select(*keys, "cluster_label", or_null(labels, "cluster_probability", "float"))
+    own = own.select(*keys, "cluster_label", *[or_null(labels, c, "float") for c in ("cluster_probability", "umap_1", "umap_2")])
     return source.join(own, keys)
 
 
@@ -46,28 +46,32 @@ def six_digits(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else f"{v:.6g}").astype(object)
 
 
-def vcf_header(extra: Sequence[str] = ()) -> list[str]:
+def vcf_header(reference: str | None = None, date: str | None = None) -> list[str]:
+    """The lines before the body; ``date`` as YYYYMMDD."""
     info = [f'##INFO=<ID={k},Number={n},Type={t},Description="{d}">' for k, (n, t, d) in INFO.items()]
-    return [f"##fileformat={VERSION}", *extra, *info, HEADER_COLUMNS]
+    passed = '##FILTER=<ID=PASS,Description="Source filter is 1 or absent">'
+    more = [f"##reference={reference}"] if reference else []
+    return [f"##fileformat={VERSION}", *([f"##fileDate={date}"] if date else []), f"##source={SOURCE}", *info, passed, *more, HEADER_COLUMNS]
 
 
 def vcf_lines(rows: DataFrame) -> DataFrame:
-    """One line per row with its sort key; absent values are ``.`` or left out of INFO."""
+    """One line per row with its sort key. FILTER is PASS where the source filter is 1 or
+    absent, else ``.``; QUAL is ``.`` where it is absent; INFO leaves absent values out."""
     dot = lambda c: F.coalesce(c.cast("string"), F.lit("."))
+    number = lambda c: six_digits(F.col(c).cast("double"))
     parts: dict[str, Column] = {
-        "SNVQ": six_digits("snvq"), "CL": F.col("cluster_label").cast("string"), "CP": six_digits(F.col("cluster_probability").cast("double")),
-        "MAPQ": F.col("mapq").cast("string"), "DP": F.col("dp").cast("string"), "AF": six_digits("raw_vaf"),
+        "CLUSTER": F.col("cluster_label").cast("int").cast("string"), "CLPROB": number("cluster_probability"), "UMAP1": number("umap_1"), "UMAP2": number("umap_2"), "SRC_FILT": F.col("filt").cast("int").cast("string"),
     }
     info = F.concat_ws(";", *[F.concat(F.lit(f"{k}="), v) for k, v in parts.items()])
-    status = F.when(F.col("filt") == 1, "PASS").when(F.col("filt").isNull(), ".").otherwise("FAIL")
-    line = F.concat_ws("\t", dot(F.col("chrom")), dot(F.col("pos")), F.lit("."), dot(F.col("ref_base")), dot(F.col("alt_base")), F.coalesce(six_digits("qual"), F.lit(".")), status, F.when(info == "", ".").otherwise(info))
+    status = F.when(F.coalesce(F.col("filt"), F.lit(1)) == 1, "PASS").otherwise(".")
+    line = F.concat_ws("\t", dot(F.col("chrom")), dot(F.col("pos")), F.lit("."), dot(F.col("ref_base")), dot(F.col("alt_base")), F.coalesce(number("qual"), F.lit(".")), status, F.when(info == "", ".").otherwise(info))
     return rows.select("chrom", "pos", "ref_base", "alt_base", line.alias("line"))
 
 
-def write_vcf(rows: DataFrame, path: str, extra: Sequence[str] = ()) -> None:
+def write_vcf(rows: DataFrame, path: str, reference: str | None = None, date: str | None = None) -> None:
     """TOP-05: lines in locus order over sorted part files; the header is the part that sorts first."""
     lines = vcf_lines(rows).orderBy("chrom", "pos", "ref_base", "alt_base", "line").select("line")
     spark = rows.sparkSession
-    header = spark.createDataFrame([("\n".join(vcf_header(extra)),)], "line string")
+    header = spark.createDataFrame([("\n".join(vcf_header(reference, date)),)], "line string")
     header.coalesce(1).write.mode("overwrite").text(f"{path}/part=0-header")
     lines.write.mode("overwrite").text(f"{path}/part=1-body")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.contexts import labels, sbs96_labels
+from . import quantiles
 
 CONTEXT = ("ref_base", "alt_base", "x_prev1", "x_next1")
 
@@ -22,9 +23,9 @@ def cluster_predicate(label: Column, only: Sequence[int] = (), without_noise: bo
 def cluster_stats(df: DataFrame) -> DataFrame:
     """AGG-04: size, mean and median probability per label from 0, largest first."""
     p = F.when(~F.isnan("cluster_probability"), F.col("cluster_probability").cast("double"))
-    stats = df.where("cluster_label >= 0").groupBy("cluster_label").agg(
-        F.count(F.lit(1)).alias("cluster_size"), F.avg(p).alias("mean_probability"), F.median(p).alias("median_probability")
-    )
+    rows = df.where("cluster_label >= 0")
+    stats = rows.groupBy("cluster_label").agg(F.count(F.lit(1)).alias("cluster_size"), F.avg(p).alias("mean_probability"))
+    stats = stats.join(quantiles.exact(rows, ["cluster_label"], p, {"median_probability": 0.5}), "cluster_label", "left")
     return stats.orderBy(F.desc("cluster_size"), "cluster_label")
 
 
@@ -51,17 +52,8 @@ def spectrum(counts: DataFrame) -> DataFrame:
     return named.where(F.col("sbs96").isNotNull()).groupBy("cluster_label", "sbs96").agg(F.sum("n").alias("n"))
 
 
-def matrix(spectra: DataFrame, clusters: Sequence[int]) -> DataFrame:
-    """AGG-12: one row per canonical context in matrix order, a column per cluster, 0 for nothing."""
-    order = F.array(*[F.lit(x) for x in sbs96_labels()])
-    rows = spectra.sparkSession.range(len(sbs96_labels())).select(F.col("id").cast("int").alias("place"), order[F.col("id").cast("int")].alias("sbs96"))
-    wide = spectra.groupBy("sbs96").pivot("cluster_label", list(clusters)).agg(F.sum("n"))
-    full = rows.join(wide, "sbs96", "left")
-    return full.select("place", "sbs96", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(f"cluster_{c}") for c in clusters])
-
-
 def dense_matrix(spectra: DataFrame) -> DataFrame:
-    """AGG-12 in long form, for any number of clusters: each cluster of ``spectra`` with all canonical contexts in matrix order, 0 for nothing."""
+    """AGG-12, in long form for any number of clusters: each cluster of ``spectra`` with all canonical contexts in matrix order, 0 for nothing."""
     counts = spectra.groupBy("cluster_label").agg(F.map_from_entries(F.collect_list(F.struct("sbs96", "n"))).alias("m"))  # 96 entries at most
     cells = counts.select("cluster_label", "m", F.posexplode(F.array(*[F.lit(x) for x in sbs96_labels()])).alias("place", "sbs96"))
     return cells.select("cluster_label", "place", "sbs96", F.coalesce(F.col("m")[F.col("sbs96")], F.lit(0)).alias("n"))
@@ -73,6 +65,16 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     return df.withColumn("place", place).where(F.col("place") <= n)
 
 
+def similarities(spectra: DataFrame, signatures: DataFrame) -> DataFrame:
+    """TOP-04: the cosine of each cluster's spectrum with ``signatures`` (``sbs96``, ``n``: one row per context), most similar first."""
+    weights = signatures.groupBy("sbs96").agg(F.sum(F.col("n").cast("double")).alias("_w"))
+    length = weights.agg(F.sum(F.col("_w") * F.col("_w")).alias("_length"))  # one row
+    n = F.col("n").cast("double")
+    sums = spectra.join(F.broadcast(weights), "sbs96", "left").groupBy("cluster_label").agg(F.sum(n * F.coalesce("_w", F.lit(0.0))).alias("_both"), F.sum(n * n).alias("_own"))
+    cosine = F.coalesce(F.try_divide("_both", F.sqrt(F.col("_own") * F.col("_length"))), F.lit(0.0)).alias("similarity")
+    return sums.crossJoin(F.broadcast(length)).select("cluster_label", cosine).orderBy(F.desc("similarity"), "cluster_label")
+
+
 def dominant(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """AGG-13: the column with the greatest value and its share of the row total; the
     first column wins ties, a total of 0 gives a share of 0."""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import plain, plain_sql
 from ..functions.contexts import sbs96_labels
-from ..operators import exports, labelled, latent
+from ..operators import exports, labelled, latent, quantiles
 from ..sources.tables import table
 from .registry import observations, observations_sql, query
 from .variants import comp
@@ -64,22 +64,11 @@ def sbs96_spectrum(spark, folder):
     return labelled.spectrum(labelled.context_counts(scored(spark, folder)))
 
 
-MATRIX_CLUSTERS = (0, 1, 2, 3, 4, 5)
-
-
-@query(f"""SELECT CAST(l.place AS INT) AS place, l.sbs96, {", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE cluster_label = {c}), 0) AS BIGINT) AS cluster_{c}" for c in MATRIX_CLUSTERS)}
-    FROM (SELECT unnest([{", ".join(f"'{x}'" for x in sbs96_labels())}]) AS sbs96, unnest(range(96)) AS place) l
-    LEFT JOIN (SELECT cluster_label, {_SBS_SQL} AS sbs96, n FROM ({_COUNTS_SQL})) c USING (sbs96) GROUP BY l.place, l.sbs96""")
-def sbs96_matrix(spark, folder):
-    """AGG-12 with the columns of the first six clusters only, as its SQL has them; sbs96_matrix_all has every cluster."""
-    return labelled.matrix(labelled.spectrum(labelled.context_counts(scored(spark, folder))), MATRIX_CLUSTERS)
-
-
 @query(f"""WITH s AS (SELECT cluster_label, {_SBS_SQL} AS sbs96, n FROM ({_COUNTS_SQL}))
     SELECT k.cluster_label, CAST(l.place AS INT) AS place, l.sbs96, CAST(coalesce(sum(s.n), 0) AS BIGINT) AS n FROM (SELECT DISTINCT cluster_label FROM s WHERE sbs96 IS NOT NULL) k
     CROSS JOIN (SELECT unnest([{", ".join(f"'{x}'" for x in sbs96_labels())}]) AS sbs96, unnest(range(96)) AS place) l
     LEFT JOIN s ON s.cluster_label = k.cluster_label AND s.sbs96 = l.sbs96 GROUP BY ALL""")
-def sbs96_matrix_all(spark, folder):
+def sbs96_matrix(spark, folder):
     """AGG-12: every cluster present, in long form."""
     return labelled.dense_matrix(labelled.spectrum(labelled.context_counts(scored(spark, folder))))
 
@@ -99,6 +88,18 @@ def largest_clusters(spark, folder):
     return labelled.cluster_stats(scored(spark, folder)).select("cluster_label", "cluster_size").limit(20)
 
 
+_WEIGHTS_SQL = f"""s AS (SELECT cluster_label, sbs96, CAST(sum(n) AS DOUBLE) AS n FROM (SELECT cluster_label, {_SBS_SQL} AS sbs96, n FROM ({_COUNTS_SQL})) WHERE sbs96 IS NOT NULL GROUP BY ALL),
+    w AS (SELECT sbs96, sum(n) AS w FROM s GROUP BY ALL)"""
+
+
+@query(f"""WITH {_WEIGHTS_SQL} SELECT cluster_label, round(sum(n * w) / sqrt(sum(n * n) * (SELECT sum(w * w) FROM w)), 6) AS similarity FROM s JOIN w USING (sbs96) GROUP BY cluster_label ORDER BY similarity DESC, cluster_label""")
+def spectrum_similarity(spark, folder):
+    """TOP-04: the cosine of each cluster's spectrum and that of all clusters, most similar first."""
+    spectra = labelled.spectrum(labelled.context_counts(scored(spark, folder)))
+    whole = spectra.groupBy("sbs96").agg(F.sum("n").alias("n"))
+    return labelled.similarities(spectra, whole).withColumn("similarity", F.round("similarity", 6)).orderBy(F.desc("similarity"), "cluster_label")
+
+
 _STATUS = ["MIXED", "PLUS", "MINUS", "UNDETERMINED"]
 _ACTIVITY_SQL = f"SELECT sample_id, {', '.join(f'''count(*) FILTER (WHERE st = '{s}') AS {s.lower()}''' for s in _STATUS)} FROM {observations_sql(['sample_id', 'st'])} GROUP BY sample_id"
 _GREATEST = "greatest(mixed, plus, minus, undetermined)"
@@ -149,8 +150,8 @@ _EXPORT_SQL = f"""SELECT s.row_index, s.chrom, s.pos, s.ref_base, s.alt_base, s.
     WHERE s.filt = 1 AND a.cluster_label >= 0"""
 
 
-def _export(spark, folder, **filters):
-    return exports.export_rows(observations(spark, folder, _SOURCE), scored(spark, folder), "filt = 1", **filters)
+def _export(spark, folder, predicate="filt = 1", **filters):
+    return exports.export_rows(observations(spark, folder, _SOURCE), scored(spark, folder), predicate, **filters)
 
 
 @query(_EXPORT_SQL)
@@ -180,18 +181,29 @@ def export_count(spark, folder):
     return _export(spark, folder, without_noise=True).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query()
+def _six(c):
+    return f"CASE WHEN CAST({c} AS VARCHAR) <> 'nan' THEN printf('%.6g', CAST({c} AS DOUBLE)) END"
+
+
+_INFO_SQL = ", ".join([
+    "'CLUSTER=' || a.cluster_label", f"'CLPROB=' || ({_six('a.cluster_probability')})", f"'UMAP1=' || ({_six('a.umap_1')})", f"'UMAP2=' || ({_six('a.umap_2')})", "'SRC_FILT=' || s.filt",
+])
+
+
+@query(f"""SELECT concat_ws(chr(9), coalesce(s.chrom, '.'), coalesce(CAST(s.pos AS VARCHAR), '.'), '.', coalesce(s.ref_base, '.'), coalesce(s.alt_base, '.'), coalesce({_six("s.qual")}, '.'),
+    CASE WHEN s.filt IS NULL OR s.filt = 1 THEN 'PASS' ELSE '.' END, concat_ws(';', {_INFO_SQL})) AS line
+    FROM {observations_sql(_SOURCE)} s JOIN analysis a ON s.row_index = a.row_index WHERE a.cluster_label >= 0""")
 def vcf_lines(spark, folder):
-    """SNK-06, FN-06, TOP-05."""
-    return exports.vcf_lines(_export(spark, folder, without_noise=True)).select("line")
+    """SNK-06, FN-06, TOP-05: whatever the source filter says."""
+    return exports.vcf_lines(_export(spark, folder, None, without_noise=True)).select("line")
 
 
 @query("""SELECT run_id, round(quantile_cont(snvq, 0.01), 6) AS p01, round(quantile_cont(snvq, 0.99), 6) AS p99 FROM analysis WHERE snvq IS NOT NULL AND isfinite(snvq) GROUP BY run_id""")
 def quantile_clamp(spark, folder):
     """AGG-23, FLT-10."""
     finite = scored(spark, folder).where(F.col("snvq").isNotNull() & ~F.isnan("snvq") & (F.abs("snvq") < float("inf")))
-    q = F.percentile("snvq", F.array(F.lit(0.01), F.lit(0.99)))
-    return finite.groupBy("run_id").agg(F.round(q[0], 6).alias("p01"), F.round(q[1], 6).alias("p99"))
+    found = quantiles.exact(finite, ["run_id"], F.col("snvq"), {"p01": 0.01, "p99": 0.99})
+    return found.select("run_id", F.round("p01", 6).alias("p01"), F.round("p99", 6).alias("p99"))
 
 
 @query("""SELECT run_id, round(min(umap_1::DOUBLE) - 0.5, 5) AS x_low, round(max(umap_1::DOUBLE) + 0.5, 5) AS x_high, round(min(umap_2::DOUBLE) - 0.5, 5) AS y_low, round(max(umap_2::DOUBLE) + 0.5, 5) AS y_high
@@ -222,35 +234,6 @@ def _one(spark, name, value):
 
 _DIMS = range(D)
 _L = lambda i: f"latent_{i}::DOUBLE"
-_MOMENTS_SQL = " UNION ALL ".join(f"SELECT {i} AS dim, count(*) AS n_rows, avg({_L(i)}) AS mean, greatest(avg({_L(i)} * {_L(i)}) - avg({_L(i)}) * avg({_L(i)}), 0) AS var FROM embedding" for i in _DIMS)
-
-
-@query(f"SELECT dim, n_rows, round(mean, 6) AS mean, round(var, 6) AS var FROM ({_MOMENTS_SQL})")
-def latent_moments(spark, folder):
-    """AGG-14."""
-    return latent.moments(_space(spark, folder, 0), D).withColumns({c: F.round(c, 6) for c in ("mean", "var")})
-
-
-@query(f"SELECT count(*) FILTER (WHERE var > 0.01) AS active_units, max(n_rows) AS n_rows FROM ({_MOMENTS_SQL})")
-def latent_active_units(spark, folder):
-    """AGG-14."""
-    return latent.active_units(latent.moments(_space(spark, folder, 0), D))
-
-
-@query(f"SELECT round(({' + '.join(f'stddev_pop({_L(i)})' for i in _DIMS)}) / {D}, 6) AS latent_collapse FROM embedding")
-def collapse_score(spark, folder):
-    """AGG-15."""
-    return latent.collapse_score(_space(spark, folder, 0), D).withColumn("latent_collapse", F.round("latent_collapse", 6))
-
-
-@query(f"""SELECT round(100 * avg(CASE WHEN down THEN 0.0 ELSE 1.0 END), 6) AS active_percent, count(*) FILTER (WHERE down) AS n_collapsed, coalesce(string_agg(CAST(dim AS VARCHAR), ',' ORDER BY dim) FILTER (WHERE down), '') AS collapsed
-    FROM (SELECT dim, ((var + mean * mean) / 2 < 0.01 OR var < 0.01) AS down FROM ({_MOMENTS_SQL}))""")
-def collapse_diagnosis(spark, folder):
-    """AGG-16."""
-    return latent.collapse_diagnosis(_space(spark, folder, 0), D).withColumn("active_percent", F.round("active_percent", 6))
-
-
-# Their SQL keeps the four queries above to the first half; these describe the whole space.
 
 
 def _whole(spark, folder):
@@ -263,26 +246,26 @@ _ALL_MOMENTS_SQL = " UNION ALL ".join(f"SELECT {i} AS dim, count(*) AS n_rows, a
 
 
 @query(f"SELECT dim, n_rows, round(mean, 6) AS mean, round(var, 6) AS var FROM ({_ALL_MOMENTS_SQL})")
-def latent_moments_all(spark, folder):
+def latent_moments(spark, folder):
     """AGG-14."""
     return latent.moments(*_whole(spark, folder)).withColumns({c: F.round(c, 6) for c in ("mean", "var")})
 
 
 @query(f"SELECT count(*) FILTER (WHERE var > 0.01) AS active_units, max(n_rows) AS n_rows FROM ({_ALL_MOMENTS_SQL})")
-def latent_active_units_all(spark, folder):
+def latent_active_units(spark, folder):
     """AGG-14."""
     return latent.active_units(latent.moments(*_whole(spark, folder)))
 
 
 @query(f"SELECT round(({' + '.join(f'stddev_pop({_L(i)})' for i in _ALL)}) / {len(_ALL)}, 6) AS latent_collapse FROM embedding")
-def collapse_score_all(spark, folder):
+def collapse_score(spark, folder):
     """AGG-15."""
     return latent.collapse_score(*_whole(spark, folder)).withColumn("latent_collapse", F.round("latent_collapse", 6))
 
 
 @query(f"""SELECT round(100 * avg(CASE WHEN down THEN 0.0 ELSE 1.0 END), 6) AS active_percent, count(*) FILTER (WHERE down) AS n_collapsed, coalesce(string_agg(CAST(dim AS VARCHAR), ',' ORDER BY dim) FILTER (WHERE down), '') AS collapsed
     FROM (SELECT dim, ((var + mean * mean) / 2 < 0.01 OR var < 0.01) AS down FROM ({_ALL_MOMENTS_SQL}))""")
-def collapse_diagnosis_all(spark, folder):
+def collapse_diagnosis(spark, folder):
     """AGG-16."""
     return latent.collapse_diagnosis(*_whole(spark, folder)).withColumn("active_percent", F.round("active_percent", 6))
 

@@ -19,6 +19,7 @@ _HIST_COLUMNS = [*BASES4, "snvq", "st", "et", "filt"]
 
 
 def comp(c: str) -> str:
+    """The complements of the bases."""
     return f"CASE {c} WHEN 'A' THEN 'T' WHEN 'C' THEN 'G' WHEN 'G' THEN 'C' WHEN 'T' THEN 'A' END"
 
 
@@ -205,7 +206,7 @@ ST = encoding.Feature("st", "c", {"MINUS": 0, "MIXED": 1, "PLUS": 2, "UNDETERMIN
 
 
 def _code_sql(f: encoding.Feature) -> str:
-    null = f.values[f.null_token]
+    null = encoding.null_code(f)
     return f"CASE {f.name} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in f.values.items()) + f" ELSE {null} END"
 
 
@@ -238,7 +239,7 @@ _DROP = [TM, ST, *[encoding.Feature(c, "float") for c in ("rq", "snvq", "sd", "e
 
 
 @query("SELECT unnest(list_filter([" + ", ".join(
-    f"CASE WHEN {('count(' + f.name + ') > 0 AND NOT (min(' + _code_sql(f) + ') = ' + str(f.values[f.null_token]) + ' AND max(' + _code_sql(f) + ') = ' + str(f.values[f.null_token]) + ')') if f.kind == 'c' else 'count(*) FILTER (WHERE NOT ' + _missing_sql(f.name) + ') > 0'} THEN '{f.name}' END" for f in _DROP
+    f"CASE WHEN {('count(' + f.name + ') > 0 AND NOT (min(' + _code_sql(f) + ') = ' + str(encoding.null_code(f)) + ' AND max(' + _code_sql(f) + ') = ' + str(encoding.null_code(f)) + ')') if f.kind == 'c' else 'count(*) FILTER (WHERE NOT ' + _missing_sql(f.name) + ') > 0'} THEN '{f.name}' END" for f in _DROP
 ) + f"], lambda x: x IS NOT NULL)) AS feature FROM {observations_sql([f.name for f in _DROP])}")
 def sample_null_drop(spark, folder):
     """ENC-04, ENC-05."""

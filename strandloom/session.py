@@ -7,10 +7,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for one machine, as tests and ``bench.py`` use it."""
+def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g", temporary: str | None = None) -> SparkSession:
+    """SRC-01: a session for one machine; ``memory`` and the folder for ``temporary`` files as Spark takes them."""
+    builder = SparkSession.builder.config("spark.local.dir", temporary) if temporary else SparkSession.builder
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("strandloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import bases, contexts
 from strandloom.functions import labels as words
-from strandloom.operators import encoding, exports, histograms, labelled, latent, model, ranked, reduce, sampling, sweeps, unions
+from strandloom.operators import encoding, exports, histograms, labelled, latent, model, quantiles, ranked, reduce, sampling, sweeps, unions
 from strandloom.operators.latest import latest
 from strandloom.sources import files, tables
 
@@ -190,7 +190,7 @@ def test_matrix_of_all_clusters(spark, tmp_path):
 
     rows = [(c, "C", "T", "A", "A") for c in (0, 6, 6, 240)] + [(7, "N", "T", "A", "A"), (-1, "C", "T", "A", "A"), (None, "C", "T", "A", "A")]
     spark.createDataFrame(rows, "cluster_label int, ref_base string, alt_base string, x_prev1 string, x_next1 string").write.parquet(f"{tmp_path}/analysis.parquet")
-    got = records.sbs96_matrix_all(spark, str(tmp_path)).collect()
+    got = records.sbs96_matrix(spark, str(tmp_path)).collect()
     assert len(got) == 3 * 96 and {r["sbs96"]: r["place"] for r in got} == {x: i for i, x in enumerate(contexts.sbs96_labels())}
     assert {(r["cluster_label"], r["sbs96"]): r["n"] for r in got if r["n"]} == {(0, "A[C>T]A"): 1, (6, "A[C>T]A"): 2, (240, "A[C>T]A"): 1}
 
@@ -202,11 +202,11 @@ def test_all_latent_dimensions(spark, tmp_path):
     m[:, 12] = 3.0
     pd.DataFrame({"row_index": np.arange(200), **{f"latent_{i}": m[:, i] for i in range(16)}}).to_parquet(f"{tmp_path}/embedding.parquet")
     folder = str(tmp_path)
-    got = {r["dim"]: r for r in records.latent_moments_all(spark, folder).collect()}
+    got = {r["dim"]: r for r in records.latent_moments(spark, folder).collect()}
     assert sorted(got) == list(range(16)) and all(abs(got[i]["mean"] - m[:, i].mean()) < 1e-5 and abs(got[i]["var"] - m[:, i].var()) < 1e-5 for i in got)
-    assert records.latent_active_units_all(spark, folder).first().asDict() == {"active_units": 15, "n_rows": 200}
-    assert abs(records.collapse_score_all(spark, folder).first()[0] - m.std(0).mean()) < 1e-5
-    assert records.collapse_diagnosis_all(spark, folder).first().asDict() == {"active_percent": 93.75, "n_collapsed": 1, "collapsed": "12"}
+    assert records.latent_active_units(spark, folder).first().asDict() == {"active_units": 15, "n_rows": 200}
+    assert abs(records.collapse_score(spark, folder).first()[0] - m.std(0).mean()) < 1e-5
+    assert records.collapse_diagnosis(spark, folder).first().asDict() == {"active_percent": 93.75, "n_collapsed": 1, "collapsed": "12"}
 
 
 def test_neighbours_of_all_rows(spark, monkeypatch, tmp_path):
@@ -268,10 +268,38 @@ def test_stagnation(spark):
 
 
 def test_vcf_text(spark):
-    rows = spark.createDataFrame([("1", 7, "A", "C", 0.5, None, 60, 12, 0.1234567, 1, 3, 0.25), (None, None, None, None, None, None, None, None, None, None, None, None)], f"{LOCUS}, snvq double, qual double, mapq int, dp int, raw_vaf double, filt int, cluster_label int, cluster_probability float")
+    schema = f"{LOCUS}, qual double, filt int, cluster_label int, cluster_probability float, umap_1 float, umap_2 float"
+    some = lambda filt: ("1", 7, "A", "C", 0.1234567, filt, 3, 0.25, -1.5, 1e-7)
+    rows = spark.createDataFrame([some(1), some(0), some(None), (None, None, None, None, float("nan"), None, None, None, None, None)], schema)
     lines = sorted(r["line"] for r in exports.vcf_lines(rows).collect())
-    assert lines == [".\t.\t.\t.\t.\t.\t.\t.", "1\t7\t.\tA\tC\t.\tPASS\tSNVQ=0.5;CL=3;CP=0.25;MAPQ=60;DP=12;AF=0.123457"]
-    assert exports.vcf_header()[0] == "##fileformat=VCFv4.3"
+    head, info = "1\t7\t.\tA\tC\t0.123457", "CLUSTER=3;CLPROB=0.25;UMAP1=-1.5;UMAP2=1e-07"
+    assert lines == sorted([".\t.\t.\t.\t.\t.\tPASS\t.", f"{head}\tPASS\t{info};SRC_FILT=1", f"{head}\t.\t{info};SRC_FILT=0", f"{head}\tPASS\t{info}"])
+    header = exports.vcf_header("ref.fa", "20260101")
+    assert header[:3] == ["##fileformat=VCFv4.3", "##fileDate=20260101", "##source=strandloom"] and header[-2:] == ["##reference=ref.fa", exports.HEADER_COLUMNS]
+    assert any(h.startswith("##FILTER=<ID=PASS,") for h in header) and sum(h.startswith("##INFO") for h in header) == 5
+
+
+def test_vcf_without_optional_columns(spark):
+    source = spark.createDataFrame([(1, "2", 5, "G", "T")], f"row_index bigint, {LOCUS}")
+    labels = spark.createDataFrame([(1, 4)], "row_index bigint, cluster_label int")
+    assert [r["line"] for r in exports.vcf_lines(exports.export_rows(source, labels)).collect()] == ["2\t5\t.\tG\tT\t.\tPASS\tCLUSTER=4"]
+
+
+def test_exact_quantiles_of_hot_groups(spark):
+    rng = np.random.default_rng(3)
+    data = [(("hot" if i % 3 == 0 else None if i % 7 == 0 else f"g{i % 20}"), float(np.round(rng.normal(), 2))) for i in range(4_000)] + [("hot", None), ("none", None)]
+    shares = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.99, "e": 1.0}
+    got = {r["g"]: tuple(r)[1:] for r in quantiles.exact(spark.createDataFrame(data, "g string, v double"), ["g"], F.col("v"), shares).collect()}
+    assert set(got) == {g for g, v in data if v is not None}
+    for g, row in got.items():
+        assert np.allclose(row, np.quantile([v for h, v in data if h == g and v is not None], list(shares.values())))
+    assert quantiles.exact(spark.createDataFrame([], "g string, v double"), ["g"], F.col("v"), shares).count() == 0
+
+
+def test_similarity_of_spectra(spark):
+    spectra = spark.createDataFrame([(1, "x", 3), (1, "y", 4), (2, "x", 1), (3, "z", 5)], "cluster_label int, sbs96 string, n bigint")
+    signature = spark.createDataFrame([("x", 3), ("y", 4)], "sbs96 string, n bigint")
+    assert [(r["cluster_label"], round(r["similarity"], 6)) for r in labelled.similarities(spectra, signature).collect()] == [(1, 1.0), (2, 0.6), (3, 0.0)]
 
 
 def small_shape():
