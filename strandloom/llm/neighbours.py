@@ -45,7 +45,7 @@ _BRUTE = 512
 #: Boxes in a box of the next level of the tree over shards.
 _FAN = 32
 #: Vectors of a shard with the greatest radii, which look for other shards on their own.
-_APART = 32
+_APART = 8
 #: Shards in one list of destinations, and shards whose vectors one task takes.
 _LISTED, _ASKED = 256, 64
 
