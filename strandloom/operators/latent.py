@@ -28,6 +28,11 @@ def wide_to_array(df: DataFrame, key: str, prefix: str, first: int = 0, last: in
     return df.select(key, F.array(*[F.col(c).cast("double") for c in names[first:last]]).alias("v"))
 
 
+def as_space(scored: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``v`` of scored rows."""
+    return scored.select(key, F.transform("latent", lambda x: x.cast("double")).alias("v"))
+
+
 def width(df: DataFrame) -> int:
     row = df.select(F.size("v")).first()
     if row is None:

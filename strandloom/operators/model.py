@@ -1,12 +1,14 @@
-"""A small tabular variational autoencoder in NumPy (MDL-01..09, AGG-17, AGG-18).
+"""A small tabular variational autoencoder in NumPy (MDL-01..03, MDL-05, MDL-07..09, AGG-17, AGG-18).
 
-It is fitted on the driver over a bounded sample (``Training.sample_rows``) and scores
-any number of rows in the workers. Parameters are a flat dict of arrays, written as
-a long parquet table, never as a pickle.
+``fit`` takes a sample that the driver holds (``Training.sample_rows`` bounds it);
+``stream_training.fit_stream`` takes any number of rows. Scoring runs in the workers. Parameters are a
+flat dict of arrays, written as a long parquet table, never as a pickle. All draws come
+from seeds, so a fit repeats exactly.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from .encoding import Feature
+from .latent import ACTIVE_VARIANCE
 
 Weights = dict[str, np.ndarray]
 
@@ -158,59 +161,141 @@ def loss_and_gradient(
     return losses, g
 
 
-def fit(shape: Shape, train: tuple[np.ndarray, ...], val: tuple[np.ndarray, ...], t: Training = Training()) -> Fitted:
-    """MDL-02..06: AdamW over shuffled batches; an epoch's metric is the plain mean of its
-    batches (AGG-18). With ``patience`` > 0, stops after so many epochs that gain at most
-    ``min_delta`` while the active units stay the same, and gives the best weights back."""
-    w = initial_weights(shape, t.seed)
-    first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
-    fitted = Fitted({k: v.copy() for k, v in w.items()}, shape)
-    best, stagnant, units, step = np.inf, 0, None, 0
+class AdamW:
+    """Adam with decoupled weight decay; changes the weights in place."""
+
+    def __init__(self, w: Weights, t: Training):
+        self.w, self.t, self.step = w, t, 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+
+    def update(self, g: Weights) -> None:
+        rate = self.t.learning_rate
+        self.step += 1
+        for k, w in self.w.items():
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g[k]
+            self.second[k] = 0.999 * self.second[k] + 0.001 * g[k] ** 2
+            w *= 1 - rate * self.t.weight_decay
+            w -= rate * (self.first[k] / (1 - 0.9**self.step)) / (np.sqrt(self.second[k] / (1 - 0.999**self.step)) + 1e-8)
+
+
+def batch_step(optimiser: AdamW, shape: Shape, batch: tuple[np.ndarray, ...], rng: np.random.Generator) -> dict:
+    """MDL-02, MDL-03: the losses of one batch, after which the weights have moved."""
+    t, n, drops = optimiser.t, len(batch[1]), []
+    if t.input_dropout or t.hidden_dropout:
+        rates = [t.input_dropout, *[t.hidden_dropout] * len(shape.hidden)]
+        sizes = [sum(shape.widths) + shape.numerics, *shape.hidden]
+        drops = [(rng.random((n, s)) >= r) / (1 - r) for r, s in zip(rates, sizes)]
+    losses, g = loss_and_gradient(optimiser.w, shape, *batch, t.kl_weight, rng.normal(size=(n, shape.latent)), drops)
+    optimiser.update(g)
+    return losses
+
+
+class History:
+    """MDL-05: the epochs so far, the best weights, and whether to stop.
+
+    With ``patience`` > 0, stops after so many epochs that gain at most ``min_delta``
+    of the best loss while the active units stay the same."""
+
+    def __init__(self, shape: Shape, w: Weights, t: Training, on_epoch: Callable[[int, Fitted, dict], None] | None = None):
+        self.t, self.on_epoch = t, on_epoch
+        self.fitted = Fitted({k: v.copy() for k, v in w.items()}, shape)
+        self.best, self.stagnant, self.units = np.inf, 0, None
+
+    def add(self, epoch: int, w: Weights, train: dict, val: dict, active: int) -> bool:
+        row = {"epoch": epoch, **{f"train_{k}": float(v) for k, v in train.items()}, **{f"val_{k}": float(v) for k, v in val.items()}, "active_units": active}
+        self.fitted.history.append(row)
+        loss = row["val_total_loss"]
+        gain = (self.best - loss) / abs(self.best) if np.isfinite(self.best) and self.best else np.inf
+        self.stagnant = self.stagnant + 1 if gain <= self.t.min_delta and active == self.units else 0
+        self.units = active
+        if loss < self.best:
+            self.best, self.fitted.best_epoch = loss, epoch
+            self.fitted.weights = {k: v.copy() for k, v in w.items()}
+        if self.on_epoch:
+            self.on_epoch(epoch, Fitted({k: v.copy() for k, v in w.items()}, self.fitted.shape), row)
+        return bool(self.t.patience and self.stagnant >= self.t.patience)
+
+
+def fit(shape: Shape, train: tuple[np.ndarray, ...], val: tuple[np.ndarray, ...], t: Training = Training(), on_epoch: Callable[[int, Fitted, dict], None] | None = None) -> Fitted:
+    """AdamW over shuffled batches; an epoch's metric is the plain mean of its batches
+    (AGG-18). Gives the weights of the best epoch back."""
+    optimiser = AdamW(initial_weights(shape, t.seed), t)
+    history = History(shape, optimiser.w, t, on_epoch)
+    mean = lambda rows: {k: np.mean([r[k] for r in rows]) for k in rows[0]}
     for epoch in range(1, t.epochs + 1):
         rng = np.random.default_rng([t.seed, epoch])
-        order, seen = rng.permutation(len(train[1])), []
-        for a in range(0, len(order), t.batch_size):
-            at = order[a : a + t.batch_size]
-            cat, num, mask = (x[at] for x in train)
-            drops = []
-            if t.input_dropout or t.hidden_dropout:
-                rates = [t.input_dropout, *[t.hidden_dropout] * len(shape.hidden)]
-                sizes = [sum(shape.widths) + shape.numerics, *shape.hidden]
-                drops = [(rng.random((len(at), s)) >= r) / (1 - r) for r, s in zip(rates, sizes)]
-            losses, g = loss_and_gradient(w, shape, cat, num, mask, t.kl_weight, rng.normal(size=(len(at), shape.latent)), drops)
-            seen.append(losses)
-            step += 1
-            for k in w:
-                first[k] = 0.9 * first[k] + 0.1 * g[k]
-                second[k] = 0.999 * second[k] + 0.001 * g[k] ** 2
-                w[k] *= 1 - t.learning_rate * t.weight_decay
-                w[k] -= t.learning_rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-        held = [loss_and_gradient(w, shape, *(x[a : a + t.batch_size] for x in val), t.kl_weight, gradient=False)[0] for a in range(0, len(val[1]), t.batch_size)]
-        mu, _ = encode(w, shape, val[0], val[1])
-        active = int((mu.var(0) > 0.01).sum())
-        row = {"epoch": epoch, **{f"train_{k}": float(np.mean([s[k] for s in seen])) for k in seen[0]}, **{f"val_{k}": float(np.mean([s[k] for s in held])) for k in held[0]}, "active_units": active}
-        fitted.history.append(row)
-        loss = row["val_total_loss"]
-        gain = (best - loss) / abs(best) if np.isfinite(best) and best else np.inf
-        stagnant = stagnant + 1 if gain <= t.min_delta and active == units else 0
-        units = active
-        if loss < best:
-            best, fitted.best_epoch = loss, epoch
-            fitted.weights = {k: v.copy() for k, v in w.items()}
-        if t.patience and stagnant >= t.patience:
+        order = rng.permutation(len(train[1]))
+        seen = [batch_step(optimiser, shape, tuple(x[order[a : a + t.batch_size]] for x in train), rng) for a in range(0, len(order), t.batch_size)]
+        held = [loss_and_gradient(optimiser.w, shape, *(x[a : a + t.batch_size] for x in val), t.kl_weight, gradient=False)[0] for a in range(0, len(val[1]), t.batch_size)]
+        active = int((encode(optimiser.w, shape, val[0], val[1])[0].var(0) > ACTIVE_VARIANCE).sum())
+        if history.add(epoch, optimiser.w, mean(seen), mean(held), active):
             break
-    return fitted
+    return history.fitted
 
 
-def matrices(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Encoded rows as arrays; the caller bounds their number."""
-    pdf = df.select("cat", "num", "mask").toPandas()
+def diagnostics_report(fitted: Fitted, t: Training) -> dict:
+    """MDL-05: how training went, why it ended and what the latents did."""
+    rows = fitted.history
+    last, best = rows[-1], rows[fitted.best_epoch - 1]
+    early = len(rows) < t.epochs
+    return {
+        "epochs_run": len(rows), "epochs_planned": t.epochs, "stopped_early": early, "reason": f"no gain above {t.min_delta:g} in {t.patience} epochs" if early else "all epochs run",
+        "best_epoch": fitted.best_epoch, "best_val_total_loss": best["val_total_loss"], "last_val_total_loss": last["val_total_loss"], "generalisation_gap": best["val_total_loss"] - best["train_total_loss"],
+        "active_units": best["active_units"], "active_percent": 100.0 * best["active_units"] / fitted.shape.latent, "collapsed_units": fitted.shape.latent - best["active_units"],
+        "changes": [(b["val_total_loss"] - a["val_total_loss"]) / abs(a["val_total_loss"]) if a["val_total_loss"] else 0.0 for a, b in zip(rows, rows[1:])],
+    }
+
+
+def arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     stack = lambda c, kind: np.array(pdf[c].to_list(), dtype=kind).reshape(len(pdf), -1)
     return stack("cat", np.int64), stack("num", float), stack("mask", float)
 
 
-def score(df: DataFrame, fitted: Fitted, keep: Sequence[str]) -> DataFrame:
+#: Rows that ``matrices`` brings to the driver at most.
+DRIVER_ROWS = 2_000_000
+
+
+def matrices(df: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Encoded rows as arrays on the driver. More than ``DRIVER_ROWS`` are refused: ``fit_stream`` takes those."""
+    pdf = df.select("cat", "num", "mask").limit(DRIVER_ROWS + 1).toPandas()
+    if len(pdf) > DRIVER_ROWS:
+        raise ValueError(f"more than {DRIVER_ROWS} rows; use fit_stream")
+    return arrays(pdf)
+
+
+class Progress:
+    """API-03: calls ``callback(rows, batches)`` on the driver while an action scores rows.
+
+    Tasks report as they end. Use as a context manager around the action and give it to ``score``."""
+
+    def __init__(self, spark: SparkSession, callback: Callable[[int, int], None], every: float = 1.0):
+        self.rows, self.batches = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+        self._callback, self._every, self._end = callback, every, threading.Event()
+        self._last, self._thread = (0, 0), threading.Thread(target=self._watch, daemon=True)
+
+    def _tell(self) -> None:
+        now = (self.rows.value, self.batches.value)
+        if now != self._last:
+            self._last = now
+            self._callback(*now)
+
+    def _watch(self) -> None:
+        while not self._end.wait(self._every):
+            self._tell()
+
+    def __enter__(self) -> Progress:
+        self._thread.start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._end.set()
+        self._thread.join()
+        self._tell()
+
+
+def score(df: DataFrame, fitted: Fitted, keep: Sequence[str], progress: Progress | None = None) -> DataFrame:
     """MDL-07, MDL-08: ``keep`` and ``latent`` array<float> of every encoded row, in any partitioning."""
+    rows, batches = (progress.rows, progress.batches) if progress else (None, None)
     sent, shape = df.sparkSession.sparkContext.broadcast(fitted.weights), fitted.shape
     schema = df.select(*keep).schema.add("latent", ArrayType(FloatType()))
 
@@ -220,6 +305,9 @@ def score(df: DataFrame, fitted: Fitted, keep: Sequence[str]) -> DataFrame:
             cat = np.array(part["cat"].to_list(), dtype=np.int64).reshape(len(part), -1)
             num = np.array(part["num"].to_list(), dtype=float).reshape(len(part), -1)
             mu, _ = encode(w, shape, cat, num)
+            if rows is not None:
+                rows.add(len(part))
+                batches.add(1)
             yield part[list(keep)].assign(latent=list(mu.astype(np.float32)))
 
     return df.select(*keep, "cat", "num").mapInPandas(run, schema)

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import encoding, latent, model, reduce, sampling
+from ..operators import encoding, evaluation, latent, model, reduce, sampling, stream_training
+from ..session import cut_lineage
 from ..sources.tables import table
 from .registry import observations, query
 from .variants import DEFAULT_FILTER, NUMERIC, TM
@@ -21,15 +22,15 @@ def encoded(spark, folder):
     rows = observations(spark, folder, ["st", "et", "filt", *[f.name for f in FEATURES]]).where(F.expr(DEFAULT_FILTER))
     kept = encoding.kept_features(rows, FEATURES)
     stats = {r["feature"]: (r["mean"], r["std"]) for r in encoding.sample_stats(rows, [f.name for f in kept if f.kind != "c"]).collect()}
-    return encoding.encode(rows, kept, stats), kept
+    return cut_lineage(encoding.encode(rows, kept, stats).select("row_index", "cat", "num", "mask")), kept
 
 
-def trained(rows, kept, training=TRAINING):
+def trained(rows, kept, training=TRAINING, on_epoch=None):
     """SMP-05 splits the sample; the fit sees rows in the order of their numbers."""
     sample = sampling.exact_sample(rows, training.sample_rows, training.seed, "row_index").orderBy("row_index")
     split = sampling.modulo_split(F.col("row_index"), 0.9, training.seed)
     train, val = (model.matrices(sample.where(split == s)) for s in ("train", "val"))
-    return model.fit(model.Shape.of(kept, (64, 32), 8), train, val, training)
+    return model.fit(model.Shape.of(kept, (64, 32), 8), train, val, training, on_epoch)
 
 
 @query()
@@ -45,51 +46,43 @@ def vae_score(spark, folder):
     return model.expand(model.score(rows, trained(rows, kept), ["row_index"]), 8)
 
 
-def _space(scored):
-    return scored.select("row_index", F.transform("latent", lambda v: v.cast("double")).alias("v"))
-
-
-def _bundle(pairs, sample):
-    value = lambda df: df.first()[0]
-    return {
-        "procrustes": latent.procrustes(pairs), "linear_cka": latent.linear_cka(pairs), "gram_similarity": latent.gram_similarity(pairs),
-        "jaccard_knn10": value(latent.knn_jaccard(sample, "row_index", 10)), "jaccard_knn30": value(latent.knn_jaccard(sample, "row_index", 30)),
-        "trustworthiness": value(latent.trustworthiness(sample, "row_index", 10)), "continuity": value(latent.trustworthiness(sample, "row_index", 10, True)),
-    }
+@query()
+def vae_stream_history(spark, folder):
+    """MDL-06, MDL-02: every row is trained on, in the cluster, with dropout and early stopping."""
+    rows, kept = encoded(spark, folder)
+    split = sampling.modulo_split(F.col("row_index"), 0.9, 42)
+    t = model.Training(epochs=3, batch_size=1_024, input_dropout=0.1, hidden_dropout=0.4, patience=2)
+    fitted = stream_training.fit_stream(rows.where(split == "train"), rows.where(split == "val"), model.Shape.of(kept, (64, 32), 8), t)
+    return spark.createDataFrame(pd.DataFrame(fitted.history))
 
 
 @query()
 def convergence_bundle(spark, folder):
     """CMP-09, WIN-04: each epoch's latents against those of the epoch before, on one held-out sample (SMP-08)."""
     rows, kept = encoded(spark, folder)
-    held = sampling.exact_sample(rows, 1_000, 99, "row_index")
-    out, before = [], None
-    for epochs in (1, 2, 3):
-        fitted = trained(rows, kept, model.Training(epochs=epochs, batch_size=1_024, sample_rows=5_000))
-        space = _space(model.score(held, fitted, ["row_index"]))
-        if before is not None:
-            pairs = latent.paired(before, space, "row_index")
-            out.append({"epoch": epochs, **_bundle(pairs, pairs)})
-        before = space
+    held = cut_lineage(sampling.exact_sample(rows, 1_000, 99, "row_index"))
+    spaces = []
+    trained(rows, kept, model.Training(epochs=3, batch_size=1_024, sample_rows=5_000), lambda epoch, now, row: spaces.append(latent.as_space(model.score(held, now, ["row_index"]), "row_index")))
+    out = [{"epoch": i + 2, **evaluation.bundle(latent.paired(a, b, "row_index"), "row_index")} for i, (a, b) in enumerate(zip(spaces, spaces[1:]))]
     return spark.createDataFrame(pd.DataFrame(out))
 
 
 @query()
 def evaluation_table(spark, folder):
-    """CMP-08, SMP-09, TOP-08: models of a ladder of sizes against the largest, on one fixed reference sample."""
+    """CMP-08, SMP-09, TOP-08, API-01/02: models of a ladder of sizes against the largest, on one fixed reference sample, labels by centroid."""
     rows, kept = encoded(spark, folder)
-    held = sampling.exact_sample(rows, 1_000, 42 + sampling.REFERENCE_OFFSET, "row_index")
-    spaces, losses = {}, {}
-    for size in (5_000, 2_500, 1_250):
-        fitted = trained(rows, kept, model.Training(epochs=2, batch_size=512, sample_rows=size))
-        spaces[size], losses[size] = _space(model.score(held, fitted, ["row_index"])), fitted.history[-1]["val_total_loss"]
-    out = []
-    for size, space in spaces.items():
-        pairs = latent.paired(spaces[5_000], space, "row_index")
-        down = latent.collapse_diagnosis(space, 8).first()
-        ari = float("nan")  # no labels here
-        out.append({"sample_rows": size, **_bundle(pairs, pairs), "latent_collapse": latent.collapse_score(space, 8).first()[0], "active_percent": down["active_percent"], "ari": ari, "nmi": ari, "val_total_loss": losses[size]})
-    return spark.createDataFrame(pd.DataFrame(out).sort_values("sample_rows", ascending=False))
+    held = cut_lineage(sampling.exact_sample(rows, 1_000, 42 + sampling.REFERENCE_OFFSET, "row_index"))
+
+    def trainer(sample, random_seed):
+        fitted = trained(sample, kept, model.Training(epochs=2, batch_size=512, sample_rows=model.DRIVER_ROWS, seed=random_seed))
+        return fitted, lambda df: latent.as_space(model.score(df, fitted, ["row_index"]), "row_index"), {"val_total_loss": fitted.history[-1]["val_total_loss"]}
+
+    def labels(space):
+        plane = reduce.principal_plane(space, 8)
+        return reduce.label_by_centroid(plane, 6, 42, 3.0).withColumnRenamed("cluster_label", "label")
+
+    out = evaluation.evaluate_subsamples(rows, held, (5_000, 2_500, 1_250), trainer, "row_index", 42, labels)
+    return spark.createDataFrame(pd.DataFrame(out))
 
 
 @query()

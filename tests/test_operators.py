@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import bases, contexts
 from strandloom.functions import labels as words
-from strandloom.operators import encoding, exports, histograms, labelled, latent, model, quantiles, ranked, reduce, sampling, sweeps, unions
+from strandloom.operators import encoding, evaluation, exports, histograms, labelled, latent, model, quantiles, ranked, reduce, sampling, stream_training, sweeps, unions
 from strandloom.operators.latest import latest
 from strandloom.sources import files, tables
 
@@ -353,6 +353,91 @@ def test_scores_and_saved_model(spark, tmp_path):
     assert model.expand(model.score(df, fitted, ["k"]), 2).columns == ["k", "latent_0", "latent_1"]
 
 
+def frame_of(spark, shape, n, seed=0):
+    cat, num, mask = random_rows(n, shape, seed)
+    return spark.createDataFrame(pd.DataFrame({"k": range(n), "cat": cat.tolist(), "num": num.tolist(), "mask": mask.tolist()}))
+
+
+def test_training_over_rows_that_stay_in_the_cluster(spark):
+    shape, seen = small_shape(), []
+    train, val = frame_of(spark, shape, 600), frame_of(spark, shape, 90, 1)
+    t = model.Training(epochs=4, batch_size=50, learning_rate=5e-3, input_dropout=0.1, hidden_dropout=0.2)
+    fitted = stream_training.fit_stream(train, val, shape, t, "k", 3, lambda epoch, now, row: seen.append((epoch, now.weights["mu_w"].sum())))
+    assert [h["epoch"] for h in fitted.history] == [1, 2, 3, 4] and fitted.history[-1]["val_total_loss"] < fitted.history[0]["val_total_loss"]
+    assert [e for e, _ in seen] == [1, 2, 3, 4] and len({w for _, w in seen}) == 4
+    again = stream_training.fit_stream(train.repartition(7), val.coalesce(1), shape, t, "k", 3)
+    assert np.allclose([h["train_total_loss"] for h in again.history], [h["train_total_loss"] for h in fitted.history])
+    one = stream_training.fit_stream(train, val, shape, model.Training(epochs=1, batch_size=1_000, learning_rate=5e-3), "k", 1)
+    alone = model.AdamW(model.initial_weights(shape, 42), model.Training(learning_rate=5e-3))
+    ordered = train.orderBy(sampling.sample_key(43, "k")).toPandas()
+    losses = model.batch_step(alone, shape, model.arrays(ordered), np.random.default_rng([42, 1, 0, 0]))
+    assert abs(losses["total_loss"] - one.history[0]["train_total_loss"]) < 1e-9 and np.allclose(alone.w["mu_w"], one.weights["mu_w"])
+    for a, b in ((train.limit(0), val), (train, val.limit(0))):
+        with pytest.raises(ValueError):
+            stream_training.fit_stream(a, b, shape, t, "k", 2)
+
+
+def test_diagnostics_and_refused_rows(spark, monkeypatch):
+    shape = small_shape()
+    train, val = random_rows(200, shape), random_rows(50, shape, 1)
+    t = model.Training(epochs=30, batch_size=64, learning_rate=1e-9, patience=2)
+    report = model.diagnostics_report(model.fit(shape, train, val, t), t)
+    assert report["stopped_early"] and report["epochs_run"] < 30 and len(report["changes"]) == report["epochs_run"] - 1 and report["active_units"] + report["collapsed_units"] == 2
+    monkeypatch.setattr(model, "DRIVER_ROWS", 40)
+    with pytest.raises(ValueError):
+        model.matrices(frame_of(spark, shape, 41))
+
+
+def test_progress_and_growing_table(spark, tmp_path):
+    shape, seen, parts = small_shape(), [], []
+    fitted = model.Fitted(model.initial_weights(shape, 0), shape)
+    with model.Progress(spark, lambda rows, batches: seen.append((rows, batches)), 0.05) as progress:
+        model.score(frame_of(spark, shape, 120).repartition(4), fitted, ["k"], progress).write.format("noop").mode("overwrite").save()
+    assert seen[-1][0] == 120 and seen[-1][1] >= 4
+    path = str(tmp_path / "grown")
+    assert files.write_in_parts(spark.range(500), path, "id", 3, lambda rows, part: parts.append((rows, part))) == 500
+    assert spark.read.parquet(path).count() == 500 and [p for _, p in parts] == [1, 2, 3] and parts[-1][0] == 500
+
+
+def test_subsamples_against_the_largest(spark):
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(80, 3))
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "k bigint, x array<double>")
+    asked = []
+
+    def trainer(sample, random_seed):
+        asked.append((sample.count(), random_seed))
+        factor = float(sample.count())
+        return None, lambda df: df.select("k", F.transform("x", lambda c: c * factor).alias("v")), {"val_total_loss": factor}
+
+    label = lambda space: space.select("k", (F.col("v")[0] > 0).cast("int").alias("label"))
+    table = evaluation.evaluate_subsamples(rows, rows, [80, 40, 20], trainer, "k", 7, label)
+    assert asked == [(80, 7), (40, 7), (20, 7)] and [r["sample_rows"] for r in table] == [80, 40, 20] and [r["fraction"] for r in table] == [1.0, 0.5, 0.25]
+    assert all(abs(r["procrustes"]) < 1e-9 and abs(r["linear_cka"] - 1) < 1e-9 and r["ari"] == r["nmi"] == 1.0 and r["val_total_loss"] == r["sample_rows"] for r in table)
+    assert math.isnan(evaluation.evaluate_subsamples(rows, rows, [80], trainer, "k")[0]["ari"])
+
+
+def test_sweep_goes_on_where_it_ended(tmp_path):
+    grid, ran = [{"rows": r, "seed": s} for s in (1, 2) for r in (100, 50)], []
+
+    def run(parameters, folder):
+        if len(ran) == 2 and parameters["rows"] == 100 and "broken" not in told:
+            told.append("broken")
+            raise RuntimeError("out of time")
+        ran.append(parameters)
+        return {"loss": 1.0 / parameters["rows"]}
+
+    told = []
+    with pytest.raises(RuntimeError):
+        evaluation.sweep(str(tmp_path), grid, run)
+    assert len(ran) == 2
+    (tmp_path / "rows_50_seed_1" / "result.json").write_text("{ cut off")
+    results = evaluation.sweep(str(tmp_path), grid, run, tell=told.append)
+    assert [(r["rows"], r["seed"], r["loss"]) for r in results] == [(100, 1, 0.01), (50, 1, 0.02), (100, 2, 0.01), (50, 2, 0.02)]
+    assert told[1:] == ["rows_100_seed_1: kept", "rows_50_seed_1: run", "rows_100_seed_2: run", "rows_50_seed_2: run"]
+    assert len(evaluation.sweep(str(tmp_path), grid, run, resume=False)) == 4 and len(ran) == 9
+
+
 def test_substitutes(spark):
     rng = np.random.default_rng(0)
     m = np.vstack([rng.normal(size=(50, 3)) * 0.1, rng.normal(size=(50, 3)) * 0.1 + 5, [[2.5, 2.5, 40.0]]])
@@ -417,7 +502,19 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["train", "--input", at("in"), "--output", at("model"), "--features", at("spec.json"), "--epochs", "2"])
     cli.main(["embed", "--input", at("in"), "--output", at("emb"), "--model", at("model")])
     assert spark.read.parquet(at("emb")).count() == 300
+    more = ["--input", at("in"), "--features", at("spec.json"), "--epochs", "2", "--hidden", "8", "4", "--latent", "2"]
+    cli.main(["train", *more, "--output", at("streamed"), "--stream", "--tasks", "2", "--convergence", "60", "--input-dropout", "0.1"])
+    assert len(json.loads((tmp_path / "streamed" / "report.json").read_text())["convergence"]) == 1 and json.loads((tmp_path / "streamed" / "diagnostics_report.json").read_text())["epochs_run"] == 2
+    cli.main(["evaluate-subsamples", *more, "--output", at("evaluated"), "--sample-rows", "200", "--fractions", "1", "0.5", "--held-rows", "60", "--clusters", "2"])
+    assert spark.read.csv(at("evaluated"), sep="\t", header=True).count() == 2
+    for _ in range(2):
+        cli.main(["sweep", *more, "--output", at("swept"), "--rows", "100", "200", "--held-rows", "60"])
+    assert [r["rows"] for r in json.loads((tmp_path / "swept" / "sweep_results.json").read_text())] == [200, 100]
+    cli.main(["pipeline", *more, "--output", at("piped")])
+    assert spark.read.parquet(at("piped") + "/embedding").count() == 200
     cli.main(["cluster", "--input", at("emb"), "--output", at("clu"), "--clusters", "2"])
+    cli.main(["cluster", "--input", at("emb"), "--output", at("again"), "--predictor", at("clu") + "/predictor.json"])
+    assert sorted(spark.read.parquet(at("again") + "/labels").collect()) == sorted(spark.read.parquet(at("clu") + "/labels").collect())
     cli.main(["vcf", "--input", at("in"), "--labels", at("clu") + "/labels", "--output", at("vcf")])
     text = [r[0] for r in spark.read.text(at("vcf")).collect()]
     assert text.count("##fileformat=VCFv4.3") == 1 and sum(not t.startswith("#") for t in text) == 300
