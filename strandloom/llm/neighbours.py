@@ -52,7 +52,11 @@ _LISTED, _ASKED = 256, 64
 
 def _squares(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of the points numbered ``a`` and ``b``, broadcast."""
-    return ((points[a] - points[b]) ** 2).sum(axis=-1)
+    return _square(points[a] - points[b])
+
+
+def _square(gap: np.ndarray) -> np.ndarray:
+    return np.einsum("...i,...i->...", gap, gap)
 
 
 def _spread_out(points: np.ndarray, of: np.ndarray, candidates: np.ndarray, distance: np.ndarray, links: int) -> np.ndarray:
@@ -63,17 +67,23 @@ def _spread_out(points: np.ndarray, of: np.ndarray, candidates: np.ndarray, dist
     candidates, distance = np.take_along_axis(candidates, order, 1), np.take_along_axis(distance, order, 1)
     chosen = np.full((rows, links), -1, np.int32)
     count = np.zeros(rows, np.int64)
-    taken = np.zeros((rows, width), bool)
-    for strict in (True, False):
+    taken = ~np.isfinite(distance)
+    step = max(1, 4_000_000 // (width * width * points.shape[1]))
+    for a in range(0, rows, step):
+        own = points[candidates[a : a + step]]
+        # Whether candidate j is nearer to candidate c than to the node.
+        near = _square(own[:, :, None, :] - own[:, None, :, :]) < distance[a : a + step, None, :]
+        shut = taken[a : a + step].copy()
         for c in range(width):
-            ok = np.isfinite(distance[:, c]) & (count < links) & ~taken[:, c]
-            if strict and c:
-                near = np.where(chosen >= 0, ((points[candidates[:, c]][:, None, :] - points[np.maximum(chosen, 0)]) ** 2).sum(-1), np.inf)
-                ok &= (near >= distance[:, c][:, None]).all(axis=1)
-            at = np.flatnonzero(ok)
-            chosen[at, count[at]] = candidates[at, c]
-            count[at] += 1
-            taken[at, c] = True
+            at = np.flatnonzero(~shut[:, c] & (count[a : a + step] < links))
+            chosen[a + at, count[a + at]] = candidates[a + at, c]
+            count[a + at] += 1
+            taken[a + at, c] = True
+            shut[at] |= near[at, c]
+    for c in range(width):
+        at = np.flatnonzero(~taken[:, c] & (count < links))
+        chosen[at, count[at]] = candidates[at, c]
+        count[at] += 1
     return chosen
 
 
@@ -92,7 +102,7 @@ class Layer:
         distance = np.full((n, beam), np.inf)
         done = np.ones((n, beam), bool)
         nodes[:, 0], done[:, 0] = start, False
-        distance[:, 0] = ((self.points[start] - queries) ** 2).sum(-1)
+        distance[:, 0] = _square(self.points[start] - queries)
         active = np.arange(n)
         while len(active):
             open_ = np.where(done[active], np.inf, distance[active])
@@ -104,7 +114,7 @@ class Layer:
             done[active, pick] = True
             near = self.neighbours[nodes[active, pick]].astype(np.int64)
             seen = (near[:, :, None] == nodes[active][:, None, :]).any(-1) | (near < 0)
-            d = ((self.points[np.maximum(near, 0)] - queries[active][:, None, :]) ** 2).sum(-1)
+            d = _square(self.points[np.maximum(near, 0)] - queries[active][:, None, :])
             d = np.where(seen, np.inf, d)
             useful = (d < distance[active, -1][:, None]).any(axis=1)
             if not useful.any():
@@ -138,7 +148,18 @@ class Layer:
         back[(back[:, :, None] == old[:, None, :]).any(-1)] = -1
         both = np.concatenate([old, back], 1)
         d = np.where(both >= 0, _squares(self.points, nodes[:, None], np.maximum(both, 0)), np.inf)
-        self.neighbours[nodes] = _spread_out(self.points, nodes, np.maximum(both, 0), d, self.links)
+        order = np.argsort(d, axis=1, kind="stable")
+        both, d = np.take_along_axis(both, order, 1), np.take_along_axis(d, order, 1)
+        size = np.isfinite(d).sum(1)
+        self.neighbours[nodes] = both[:, : self.links]
+        # Those with too many are thinned out, with others of about as many.
+        below = self.links
+        while below < int(size.max()):
+            above = below + self.links // 2
+            at = np.flatnonzero((size > below) & (size <= above))
+            if len(at):
+                self.neighbours[nodes[at]] = _spread_out(self.points, nodes[at], np.maximum(both[at, :above], 0), d[at, :above], self.links)
+            below = above
 
 
 class Graph:
@@ -179,7 +200,7 @@ class Graph:
             queries = layer.points[new]
             start = self._start(queries) if self.layers and len(self.layers[-1].points) <= done else np.zeros(len(new), np.int64)
             nodes, distance = layer.search(queries, start, BEAM_BUILD)
-            own = ((queries[:, None, :] - queries[None, :, :]) ** 2).sum(-1)
+            own = _square(queries[:, None, :] - queries[None, :, :])
             np.fill_diagonal(own, np.inf)
             width = min(layer.links, len(new) - 1)
             if width > 0:
@@ -194,7 +215,7 @@ class Graph:
         if len(nodes) < 2:
             return
         p = layer.points[nodes]
-        d = ((p[:, None, :] - p[None, :, :]) ** 2).sum(-1)
+        d = _square(p[:, None, :] - p[None, :, :])
         np.fill_diagonal(d, np.inf)
         width = min(3 * layer.links, len(nodes) - 1)
         best = np.argpartition(d, width - 1, axis=1)[:, :width]
@@ -262,7 +283,7 @@ class Shard:
             n = number[a : a + step]
             who = np.repeat(np.arange(a, a + len(n)), n)
             node = order[np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[a : a + step], n)]
-            d = ((points[node] - queries[who]) ** 2).sum(-1)
+            d = _square(points[node] - queries[who])
             near = d <= radius[who]
             out.append((who[near], node[near], d[near]))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
