@@ -70,31 +70,32 @@ def paired(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.select(key, F.col("v").alias("x")).join(b.select(key, F.col("v").alias("y")), key)
 
 
-def _sums(pairs: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, sums and cross products of [x, y] over all pairs, added up per task."""
+def _sums(pairs: DataFrame) -> tuple[int, np.ndarray, np.ndarray, int]:
+    """Rows, sums and cross products of [x, y] over all pairs, added up per task, and the width of x."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total, width = None, 0
         for batch in batches:
             if len(batch):
+                width = len(batch["x"].iloc[0])
                 z = np.hstack([np.stack(batch["x"].to_list()), np.stack(batch["y"].to_list())]).astype(float)
                 add = np.vstack([np.hstack([[len(z)], z.sum(0)]), np.hstack([z.sum(0)[:, None], z.T @ z])])
                 total = add if total is None else total + add
         if total is not None:
-            yield pd.DataFrame({"i": np.arange(total.size), "s": total.ravel()})
+            yield pd.DataFrame({"i": np.arange(-1, total.size), "s": np.concatenate([[width], total.ravel()])})
 
-    cells = pairs.select("x", "y").mapInPandas(part, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"))
-    flat = np.array([r["s"] for r in cells.orderBy("i").collect()])  # (1 + dx + dy) squared numbers
-    if not len(flat):
+    cells = pairs.select("x", "y").mapInPandas(part, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"), F.max("s").alias("most"))
+    found = {r["i"]: r for r in cells.collect()}  # 1 + (1 + dx + dy) squared numbers
+    if not found:
         raise ValueError("the spaces share no id")
-    size = int(round(len(flat) ** 0.5))
-    m = flat.reshape(size, size)
-    return int(round(m[0, 0])), m[0, 1:], m[1:, 1:]
+    width = int(found.pop(-1)["most"])
+    size = int(round(len(found) ** 0.5))
+    m = np.array([found[i]["s"] for i in range(len(found))]).reshape(size, size)
+    return int(round(m[0, 0])), m[0, 1:], m[1:, 1:], width
 
 
 def _blocks(pairs: DataFrame, centred: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    dx = pairs.select(F.size("x")).first()[0]
-    n, s, c = _sums(pairs)
+    n, s, c, dx = _sums(pairs)
     if centred:
         c = c - np.outer(s, s) / n
     return c[:dx, :dx], c[:dx, dx:], c[dx:, dx:]

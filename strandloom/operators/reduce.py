@@ -51,7 +51,7 @@ class Reducer:
 
 def fit_plane(df: DataFrame, d: int) -> Reducer:
     """The two main components of ``v``, from one pass over d x d sums."""
-    n, s, c = _sums(df.select(F.col("v").alias("x"), F.array(F.lit(0.0)).alias("y")))
+    n, s, c, _ = _sums(df.select(F.col("v").alias("x"), F.array(F.lit(0.0)).alias("y")))
     c = (c - np.outer(s, s) / n)[:d, :d]
     axes = np.linalg.eigh(c)[1][:, ::-1][:, :2]
     axes *= np.where(axes[np.abs(axes).argmax(0), [0, 1]] < 0, -1, 1)
