@@ -11,7 +11,8 @@ the worst keys beyond any need give way; (4) report what still falls short.
 takes a prefix of one common order. A row beyond the longest prefix any request
 wants is dropped by a bound before anything is shuffled or ranked (the bound
 fails with a chance below 1e-12), and each row meets only the requests for its
-own sample and category. Each request's sample is a correct weighted sample;
+own sample and category. Where rows must be ordered - the first of a category, the first
+of a request - a lower bound takes most of them unordered, and only those near the end are ranked. Each request's sample is a correct weighted sample;
 requests for the same sample overlap as far as they can.
 
 The need of a category is the greater of ``share * size`` (rounded) and its
@@ -29,9 +30,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .fixed_sample import bounds
 from .hashing import SPAN, random_key
 
@@ -89,12 +91,42 @@ def _plan(pdf: pd.DataFrame, categories: list[str]) -> pd.DataFrame:
     top = _limit_for(size + 10 * math.sqrt(size) + 50, available, weight) if fill else 0.0
     with np.errstate(invalid="ignore"):
         drawn = np.where(weight > 0, top * weight, 0.0)
-    must = np.zeros(len(pdf))
+    must, surely = np.zeros(len(pdf)), np.zeros(len(pdf))
     for i, (n, k) in enumerate(zip(available, need)):
         if k > 0 and n > 0:
-            reject = 1.0 if k >= n else bounds(int(k), int(n), _FAILURE)[1]
+            accept, reject = (0.0, 1.0) if k >= n else bounds(int(k), int(n), _FAILURE)
             must[i] = math.inf if reject >= 1 else -math.log1p(-reject)
-    return pdf.assign(need=need, weight=weight, fill=fill, limit=np.maximum(must, drawn), fill_limit=drawn)
+            surely[i] = -math.log1p(-accept)
+    beyond = lambda t: np.maximum(available * -np.expm1(-t * weight) - need, 0).sum()
+    fill_surely = _root(beyond, fill - 10 * math.sqrt(fill) - 50) if fill else 0.0
+    return pdf.assign(need=need, weight=weight, fill=fill, limit=np.maximum(must, drawn), fill_limit=drawn, surely=surely, fill_surely=fill_surely)
+
+
+def _root(rising, wanted: float) -> float:
+    """A number at which ``rising`` is at most ``wanted``; 0 where it never is."""
+    if wanted <= 0:
+        return 0.0
+    low, high = 0.0, 1.0
+    while rising(high) < wanted and high < 1e300:
+        high *= 2
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if rising(middle) <= wanted else (low, middle)
+    return low
+
+
+def _first(df: DataFrame, keys: Sequence[str], value: Column, surely: Column, wanted: Column, record: str) -> DataFrame:
+    """``df`` with ``_first``: whether a row is among the first ``wanted`` of its ``keys`` by ``value``, then ``record``.
+
+    Rows below ``surely`` are taken without an order, if there are not more of them than wanted; only the rest
+    is ranked. Rows that are taken are spread by a salt, so no task sees all rows of a key."""
+    marked = df.withColumn("_below", F.coalesce(value < surely, F.lit(False)))
+    counts = marked.groupBy(*keys).agg(F.count_if("_below").alias("_taken"))
+    marked = marked.join(counts, list(keys)).withColumn("_below", F.col("_below") & (F.col("_taken") <= wanted))
+    salt = F.when(F.col("_below"), F.pmod(F.xxhash64(record), F.lit(1 << 16))).otherwise(-1)
+    place = F.row_number().over(Window.partitionBy(*keys, salt).orderBy(value.asc_nulls_last(), record))
+    left = wanted - F.when(F.col("_taken") <= wanted, F.col("_taken")).otherwise(0)
+    return marked.withColumn("_first", F.col("_below") | (place <= left)).drop("_below", "_taken")
 
 
 def proportional_sample(
@@ -117,18 +149,17 @@ def proportional_sample(
     )
     cells = wanted.join(supply, cell, "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("bigint"))
     schema = cells.schema.simpleString()[len("struct<") : -1]
-    schema = f"{schema},need:bigint,weight:double,fill:bigint,limit:double,fill_limit:double"
+    schema = f"{schema},need:bigint,weight:double,fill:bigint,limit:double,fill_limit:double,surely:double,fill_surely:double"
     plan = cells.groupBy(request).applyInPandas(lambda pdf: _plan(pdf, categories), schema)
 
     exponential = -F.log((random_key(seed, F.col(record)) + 0.5) / float(SPAN))
     longest = plan.groupBy(*cell).agg(F.max("limit").alias("longest"))
     near = rows.withColumn("_e", exponential).join(longest, cell).where(F.col("_e") <= F.col("longest")).drop("longest")
-    drawn = near.join(plan.select(request, *cell, "need", "weight", "fill", "limit", "fill_limit"), cell).where(F.col("_e") <= F.col("limit"))
-    in_cell = Window.partitionBy(request, *categories).orderBy("_e", record)
-    drawn = drawn.withColumn("_must", F.row_number().over(in_cell) <= F.col("need"))
-    drawn = drawn.where(F.col("_must") | ((F.col("fill") > 0) & (F.col("_e") <= F.col("fill_limit"))))
-    by_key = Window.partitionBy(request, "_must").orderBy(F.try_divide("_e", "weight").asc_nulls_last(), record)
-    chosen = drawn.withColumn("_place", F.row_number().over(by_key)).where(F.col("_must") | (F.col("_place") <= F.col("fill")))
+    drawn = near.join(plan.select(request, *cell, "need", "weight", "fill", "limit", "fill_limit", "surely", "fill_surely"), cell).where(F.col("_e") <= F.col("limit"))
+    drawn = _first(drawn, [request, *cell], F.col("_e"), F.col("surely"), F.col("need"), record)
+    drawn = cut_lineage(drawn.where(F.col("_first") | ((F.col("fill") > 0) & (F.col("_e") <= F.col("fill_limit")))))
+    more = _first(drawn.where("not _first"), [request], F.try_divide("_e", "weight"), F.col("fill_surely"), F.col("fill"), record)
+    chosen = drawn.where("_first").unionByName(more.where("_first"))
     chosen = chosen.select(request, record, *cell)
 
     counts = chosen.groupBy(request, *categories).agg(F.count(F.lit(1)).alias("drawn"))

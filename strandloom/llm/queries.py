@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bases import plain, plain_sql
 from ..operators.latest import latest, latest_sql
+from ..session import by_value
 from ..sources.tables import table
 from . import clusters, fixed_sample, leakage, neighbours, packing, proportions, quantile_sketch, residue, stable_sample, survivors
 from .hashing import random_key_sql
@@ -68,12 +69,11 @@ PIECE_DAYS = 30
 
 @query(f"SELECT row_index FROM (SELECT DISTINCT row_index FROM featuremap WHERE row_index IS NOT NULL) ORDER BY {random_key_sql(SAMPLE_SEED, 'row_index')}, row_index LIMIT 2000")
 def p1_sample_by_piece(spark: SparkSession, folder: str) -> DataFrame:
-    """The batches come one after another; how many there will be is not used."""
-    rows = table(spark, folder, "featuremap").select("row_index", "batch_no")
-    last = rows.agg(F.max("batch_no")).first()[0] or 0
-    piece = F.coalesce(F.floor(F.col("batch_no") / PIECE_DAYS), F.lit(0))
-    pieces = (rows.where(piece == i) for i in range(last // PIECE_DAYS + 1))
-    return fixed_sample.sample_pieces(pieces, "row_index", 2_000, SAMPLE_SEED)
+    """The batches come one after another, each read once; how many there will be is not used."""
+    piece = F.coalesce(F.floor(F.col("batch_no") / PIECE_DAYS), F.lit(0)).cast("int").alias("piece")
+    rows = by_value(table(spark, folder, "featuremap").select("row_index", piece), "piece")
+    numbers = sorted(r["piece"] for r in rows.select("piece").distinct().collect())
+    return fixed_sample.sample_pieces((rows.where(F.col("piece") == i) for i in numbers), "row_index", 2_000, SAMPLE_SEED)
 
 
 # --- Problem 2: target proportions --------------------------------------------------------
