@@ -150,7 +150,7 @@ def proportional_sample(
     cells = wanted.join(supply, cell, "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("bigint"))
     schema = cells.schema.simpleString()[len("struct<") : -1]
     schema = f"{schema},need:bigint,weight:double,fill:bigint,limit:double,fill_limit:double,surely:double,fill_surely:double"
-    plan = cells.groupBy(request).applyInPandas(lambda pdf: _plan(pdf, categories), schema)
+    plan = cut_lineage(cells.groupBy(request).applyInPandas(lambda pdf: _plan(pdf, categories), schema))
 
     exponential = -F.log((random_key(seed, F.col(record)) + 0.5) / float(SPAN))
     longest = plan.groupBy(*cell).agg(F.max("limit").alias("longest"))
