@@ -17,7 +17,7 @@ lead from one member to all, is mended along its links. Two records are thus in
 group exactly if steps of at most ``reach`` lead from one to the other.
 
 Nothing depends on the number of records in a cell: links are decided on bounding
-boxes, refined sixteenfold per axis only where these leave it open, down to single
+boxes and the records at their ends, refined sixteenfold per axis only where these leave it open, down to single
 coordinates.
 
 Defined cases: a row with a null, NaN or infinite coordinate is left out, as are null
@@ -65,12 +65,31 @@ class Clustering:
 
 
 def _boxes(points: DataFrame, *by: Column) -> DataFrame:
+    return points.groupBy("grp", *by).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+
+
+#: Per cell: the records at its left, right, lower and upper end.
+_ENDS = (("x0", "yx0"), ("x1", "yx1"), ("xy0", "y0"), ("xy1", "y1"))
+
+
+def _cells(points: DataFrame, *by: Column) -> DataFrame:
+    """Boxes with the records at their ends."""
+    ends = {"yx0": F.min_by("y", "x"), "yx1": F.max_by("y", "x"), "xy0": F.min_by("x", "y"), "xy1": F.max_by("x", "y")}
     return points.groupBy("grp", *by).agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+        F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.avg("x").alias("mx"), F.avg("y").alias("my"), *[c.alias(e) for e, c in ends.items()],
     )
 
 
+def _ends_meet(a: str, b: str, limit: float) -> Column:
+    """Whether a record at an end of one cell is within reach of one at an end of the other."""
+    def square(p: tuple[str, str], q: tuple[str, str]) -> Column:
+        dx, dy = (F.col(f"{a}.{m}") - F.col(f"{b}.{n}") for m, n in zip(p, q))
+        return dx * dx + dy * dy
+
+    return F.least(*[square(p, q) for p in _ENDS for q in _ENDS]) <= limit
+
+
 def _level(axis: str, side: float, level: int) -> Column:
     return F.floor(F.col(axis) / side * float(_SPLIT**level)).cast("bigint")
 
@@ -108,12 +127,12 @@ def links(points: DataFrame, cells: DataFrame, side: float, reach: float) -> Dat
     limit = reach * reach
     steps = [(dx, dy) for dx in range(3) for dy in range(-2, 3) if (dx, dy) > (0, 0)]
     step = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps])).alias("step")
-    box = ["x0", "x1", "y0", "y1"]
+    box = ["x0", "x1", "y0", "y1", "yx0", "yx1", "xy0", "xy1"]
     left = cells.select("grp", "low", "cx", "cy", *box, step).withColumns({"tx": F.col("cx") + F.col("step.dx"), "ty": F.col("cy") + F.col("step.dy")})
     right = cells.select("grp", "low", "cx", "cy", *box)
     met = left.alias("l").join(right.alias("r"), (F.col("l.grp") == F.col("r.grp")) & (F.col("tx") == F.col("r.cx")) & (F.col("ty") == F.col("r.cy")))
     pairs = met.where(_least("l", "r") <= limit).select(
-        F.col("l.grp").alias("grp"), F.col("l.low").alias("a"), F.col("r.low").alias("b"), (_most("l", "r") <= limit).alias("linked"),
+        F.col("l.grp").alias("grp"), F.col("l.low").alias("a"), F.col("r.low").alias("b"), ((_most("l", "r") <= limit) | _ends_meet("l", "r", limit)).alias("linked"),
         F.col("l.cx").alias("ax"), F.col("l.cy").alias("ay"), F.col("r.cx").alias("bx"), F.col("r.cy").alias("by"),
     )
     pairs = cut_lineage(pairs)
@@ -298,7 +317,7 @@ def similarity_groups(df: DataFrame, group: str, key: str, x: str, y: str, reach
 
     side = reach / math.sqrt(2) * (1 - 1e-9)
     here = {"cx": _level("x", side, 0), "cy": _level("y", side, 0)}
-    cells = cut_lineage(_boxes(points.withColumns(here), F.col("cx"), F.col("cy")))
+    cells = cut_lineage(_cells(points.withColumns(here), F.col("cx"), F.col("cy")))
     ends = links(points, cells, side, reach)
     for e in "ab":
         ends = ends.join(cells.select("grp", F.col("low").alias(e), F.col("cx").alias(f"{e}x"), F.col("cy").alias(f"{e}y"), F.col("n").alias(f"n{e}"), F.col("mx").alias(f"x{e}"), F.col("my").alias(f"y{e}")), ["grp", e])
