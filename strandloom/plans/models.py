@@ -10,27 +10,28 @@ from ..operators import encoding, evaluation, latent, model, reduce, sampling, s
 from ..session import cut_lineage
 from ..sources.tables import table
 from .registry import observations, query
-from .variants import DEFAULT_FILTER, NUMERIC, TM
+from .variants import DEFAULT_FILTER, NUMERIC, ST, TM
 
 FEATURES = [TM, encoding.Feature("ref_base", "c", {"A": 0, "C": 1, "G": 2, "T": 3, "": 4}), *[encoding.Feature(c, "float") for c in NUMERIC if c not in ("snvq", "sd")]]
 #: A bounded sample fits the model; every row is scored.
 TRAINING = model.Training(epochs=3, batch_size=1_024, sample_rows=20_000)
 
 
-def encoded(spark, folder):
-    """Rows that pass the default filter, encoded, with the features kept and their statistics."""
-    rows = observations(spark, folder, ["st", "et", "filt", *[f.name for f in FEATURES]]).where(F.expr(DEFAULT_FILTER))
-    kept = encoding.kept_features(rows, FEATURES)
+def encoded(spark, folder, features=FEATURES, predicate=DEFAULT_FILTER):
+    """Rows that pass the filter, encoded, with the features kept and their statistics."""
+    rows = observations(spark, folder, ["st", "et", "filt", *[f.name for f in features]])
+    rows = rows.where(F.expr(predicate)) if predicate else rows
+    kept = encoding.kept_features(rows, features)
     stats = {r["feature"]: (r["mean"], r["std"]) for r in encoding.sample_stats(rows, [f.name for f in kept if f.kind != "c"]).collect()}
     return cut_lineage(encoding.encode(rows, kept, stats).select("row_index", "cat", "num", "mask")), kept
 
 
-def trained(rows, kept, training=TRAINING, on_epoch=None):
+def trained(rows, kept, training=TRAINING, on_epoch=None, shape=((64, 32), 8)):
     """SMP-05 splits the sample; the fit sees rows in the order of their numbers."""
     sample = sampling.exact_sample(rows, training.sample_rows, training.seed, "row_index").orderBy("row_index")
     split = sampling.modulo_split(F.col("row_index"), 0.9, training.seed)
     train, val = (model.matrices(sample.where(split == s)) for s in ("train", "val"))
-    return model.fit(model.Shape.of(kept, (64, 32), 8), train, val, training, on_epoch)
+    return model.fit(model.Shape.of(kept, *shape), train, val, training, on_epoch)
 
 
 @query()
@@ -85,6 +86,26 @@ def evaluation_table(spark, folder):
     return spark.createDataFrame(pd.DataFrame(out))
 
 
+_BASE = {"A": 0, "C": 1, "G": 2, "T": 3, "": 4}
+#: As many categorical and numeric features as the published runs kept: 11 and 15.
+WIDE = [
+    TM, ST, encoding.Feature("et", "c", dict(ST.values)), *[encoding.Feature(c, "c", _BASE) for c in ("ref_base", "alt_base", *[f"x_{side}{i}" for i in (1, 2, 3) for side in ("prev", "next")])],
+    *[encoding.Feature(c, "float") for c in (*[c for c in NUMERIC if c != "sd"], "hamdist_filt", "bcsqcss", "x_hmer_ref", "x_hmer_alt", "scst")],
+]
+
+
+@query()
+def vae_published_size(spark, folder):
+    """MDL-01..08: the published configuration (hidden 256 and 128, 16 latents, batches of 4,096, 10 epochs, rate 1e-3,
+    divergence weight 0.05, 90 % for training) on up to 100,000 rows; then all rows are scored and measured."""
+    rows, kept = encoded(spark, folder, WIDE, None)
+    fitted = trained(rows, kept, model.Training(sample_rows=100_000), shape=((256, 128), 16))
+    space = cut_lineage(latent.as_space(model.score(rows, fitted, ["row_index"]), "row_index"))
+    down, best = latent.collapse_diagnosis(space, 16).first(), fitted.history[fitted.best_epoch - 1]
+    row = {"n_scored": space.count(), "best_epoch": fitted.best_epoch, "val_total_loss": best["val_total_loss"], "latent_collapse": latent.collapse_score(space, 16).first()[0], "active_percent": down["active_percent"]}
+    return spark.createDataFrame(pd.DataFrame([row]))
+
+
 @query()
 def plane_and_labels(spark, folder):
     """EXT-01/02 substitutes: two principal components and nearest centroids, -1 for the far."""

@@ -9,7 +9,7 @@ def test_query_equals_sql(spark, name):
     parity.compare(spark, plans.QUERIES[name], plans.SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL) - {"convergence_bundle", "evaluation_table"}))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL) - {"convergence_bundle", "evaluation_table", "vae_published_size"}))
 def test_query_runs(spark, name):
     assert plans.QUERIES[name](spark, parity.FOLDER).count() > 0
 
