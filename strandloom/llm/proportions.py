@@ -39,6 +39,8 @@ from .hashing import SPAN, random_key
 
 _FAILURE = 1e-12
 _SWEEPS = 40
+#: Target rows (about 150 bytes each) up to which they are sent to every task; more are joined by shuffle.
+_BROADCAST = 100_000
 
 
 def rake(available: np.ndarray, target: np.ndarray, fields: Sequence[np.ndarray], sweeps: int = _SWEEPS) -> np.ndarray:
@@ -154,8 +156,10 @@ def proportional_sample(
 
     exponential = -F.log((random_key(seed, F.col(record)) + 0.5) / float(SPAN))
     longest = plan.groupBy(*cell).agg(F.max("limit").alias("longest"))
-    near = rows.withColumn("_e", exponential).join(longest, cell).where(F.col("_e") <= F.col("longest")).drop("longest")
-    drawn = near.join(plan.select(request, *cell, "need", "weight", "fill", "limit", "fill_limit", "surely", "fill_surely"), cell).where(F.col("_e") <= F.col("limit"))
+    few = plan.count() <= _BROADCAST
+    sent = F.broadcast if few else lambda df: df
+    near = rows.withColumn("_e", exponential).join(sent(longest), cell).where(F.col("_e") <= F.col("longest")).drop("longest")
+    drawn = near.join(sent(plan.select(request, *cell, "need", "weight", "fill", "limit", "fill_limit", "surely", "fill_surely")), cell).where(F.col("_e") <= F.col("limit"))
     drawn = _first(drawn, [request, *cell], F.col("_e"), F.col("surely"), F.col("need"), record)
     drawn = cut_lineage(drawn.where(F.col("_first") | ((F.col("fill") > 0) & (F.col("_e") <= F.col("fill_limit")))))
     more = _first(drawn.where("not _first"), [request], F.try_divide("_e", "weight"), F.col("fill_surely"), F.col("fill"), record)

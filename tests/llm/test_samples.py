@@ -73,7 +73,9 @@ def drawn(spark, rows, targets):
     return [tuple(x) for x in sample.select("req", "id", "a", "b").collect()], {(x["req"], x["a"], x["b"]): x.asDict() for x in report.collect()}
 
 
-def test_shares_minimums_and_gaps(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_shares_minimums_and_gaps(spark, monkeypatch, few):
+    monkeypatch.setattr(proportions, "_BROADCAST", few)
     rows = [("s", i, "A" if i % 4 else "C", "G" if i % 2 else "T", 1.0) for i in range(4_000)] + [("s", 9_000, "N", "T", 1.0), ("s", None, "A", "G", 1.0), ("s", 9_001, None, None, 1.0)]
     targets = [(1, "s", 100, "A", "G", 0.5, 2, 0), (1, "s", 100, "C", "T", 0.3, 2, 0), (1, "s", 100, "N", "T", 0.2, 2, 0), (1, "s", 100, "A", "T", 0.0, 3, 0), (2, "s", 10, "A", "G", 1.0, 0, 0), (3, "none", 10, "A", "G", 1.0, 1, 0), (None, "s", 5, "A", "G", 1.0, 1, 0)]
     sample, report = drawn(spark, rows, targets)
