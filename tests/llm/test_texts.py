@@ -204,7 +204,7 @@ CASES = [
     "404 Not Found", "<html><head><title>502 Bad Gateway</title></head><body><h1>Bad Gateway</h1></body></html>", "Access denied.", "Your session has expired. Sign in again to continue.",
     "Please enable JavaScript to view this report.", "Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.", "Lo sentimos, la página solicitada no existe.", "Sayfa bulunamadı.",
     "Lorum ipsam dolar situm amera consec adipan elitus.", "TBD TBD TBD", "Your content here.", "TODO: write the summary before sending this out.", "Texto de ejemplo, sustituir antes de publicar.",
-    "A good result was seen in all runs. Something went wrong on our side (code 5f39).", "Title\n\n[object Object] and more", "This section has not been written yet.",
+    "A good result was seen in all runs. Something went wrong on our side (code 5f39).", "Title\n\n[object Object] and more", "This section has not been written yet.", "test test test test test", "Report viewer\n\nText text text text", "[archived] 429 Too Many Requests", "Fwd: Access denied",
 ]
 OTHERS = [
     None, "", "  \n ", "Readers saw '502 Bad Gateway' for an hour; the limit was raised.", "The mark {{ cluster }} in the page template stands for the library.", "A linter now rejects a page when [INSERT DATE HERE] is still in it.",
