@@ -33,7 +33,7 @@ def _encode(args, spark):
 def _training(args) -> model.Training:
     return model.Training(
         epochs=args.epochs, batch_size=args.batch_size, seed=args.seed, sample_rows=args.sample_rows, patience=args.patience, min_delta=args.min_delta, input_dropout=args.input_dropout, hidden_dropout=args.hidden_dropout,
-        learning_rate=args.learning_rate, kl_weight=args.kl_weight,
+        learning_rate=args.learning_rate, kl_weight=args.kl_weight, mixed=args.mixed,
     )
 
 
@@ -226,6 +226,7 @@ def main(argv: list[str] | None = None) -> None:
         ):
             p.add_argument(f"--{name}", type=kind, default=default)
         p.add_argument("--hidden", type=int, nargs="+", default=[256, 128])
+        p.add_argument("--mixed", action="store_true", help="single-precision passes")
         p.add_argument("--stream", action="store_true", help="train on all rows, in the cluster")
         return p
 

@@ -1,4 +1,4 @@
-"""A small tabular variational autoencoder in NumPy (MDL-01..03, MDL-05, MDL-07..09, AGG-17, AGG-18).
+"""A small tabular variational autoencoder in NumPy (MDL-01..05, MDL-07..09, AGG-17, AGG-18).
 
 ``fit`` takes a sample that the driver holds (``Training.sample_rows`` bounds it);
 ``stream_training.fit_stream`` takes any number of rows. Scoring runs in the workers. Parameters are a
@@ -55,6 +55,8 @@ class Training:
     sample_rows: int = 200_000
     patience: int = 0
     min_delta: float = 1e-3
+    #: MDL-04: forward and backward passes in single precision, weights and steps in double.
+    mixed: bool = False
 
 
 @dataclass
@@ -179,13 +181,17 @@ class AdamW:
 
 
 def batch_step(optimiser: AdamW, shape: Shape, batch: tuple[np.ndarray, ...], rng: np.random.Generator) -> dict:
-    """MDL-02, MDL-03: the losses of one batch, after which the weights have moved."""
+    """MDL-02..04: the losses of one batch, after which the weights have moved."""
     t, n, drops = optimiser.t, len(batch[1]), []
     if t.input_dropout or t.hidden_dropout:
         rates = [t.input_dropout, *[t.hidden_dropout] * len(shape.hidden)]
         sizes = [sum(shape.widths) + shape.numerics, *shape.hidden]
         drops = [(rng.random((n, s)) >= r) / (1 - r) for r, s in zip(rates, sizes)]
-    losses, g = loss_and_gradient(optimiser.w, shape, *batch, t.kl_weight, rng.normal(size=(n, shape.latent)), drops)
+    w, noise = optimiser.w, rng.normal(size=(n, shape.latent))
+    if t.mixed:
+        single = lambda x: x.astype(np.float32)
+        w, noise, drops, batch = {k: single(v) for k, v in w.items()}, single(noise), [single(d) for d in drops], (batch[0], single(batch[1]), single(batch[2]))
+    losses, g = loss_and_gradient(w, shape, *batch, t.kl_weight, noise, drops)
     optimiser.update(g)
     return losses
 

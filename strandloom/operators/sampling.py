@@ -68,29 +68,31 @@ def split_divisor(train_share: float) -> int:
     return max(2, round(1 / (1 - train_share)))
 
 
-def ranked_split(df: DataFrame, train_share: float, seed: int, *keys: str) -> DataFrame:
-    """SMP-04: the first max(1, min(n - 1, int(n * share))) rows by sample key train.
+def with_rank(df: DataFrame, name: str, seed: int, *keys: str) -> DataFrame:
+    """``df`` with the rank (from 1) of each row by sample key.
 
-    Ranks are counted by the two leading digits of the key, then within them, so no
-    task sees all rows."""
-    total = df.count()
-    train = max(1, min(total - 1, int(total * train_share)))
+    Ranks are counted by the leading digits of the key, then within them, so no task sees all rows."""
     keyed = df.withColumn("_key", sample_key(seed, *keys)).withColumn("_slot", F.substring("_key", 1, 3))
     slots = keyed.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)  # at most 4,096 slots
     slots = slots.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy("_slot").orderBy("_key", *keys))
-    ranked = keyed.join(F.broadcast(slots), "_slot").withColumn("_rank", F.col("_before") + own)
-    return ranked.withColumn("split", F.when(F.col("_rank") <= train, "train").otherwise("val")).drop("_key", "_slot", "_before", "_rank")
+    return keyed.withColumn("_own", own).join(F.broadcast(slots), "_slot").withColumn(name, F.col("_before") + F.col("_own")).drop("_key", "_slot", "_before", "_own")
+
+
+def ranked_split(df: DataFrame, train_share: float, seed: int, *keys: str) -> DataFrame:
+    """SMP-04: the first max(1, min(n - 1, int(n * share))) rows by sample key train."""
+    total = df.count()
+    train = max(1, min(total - 1, int(total * train_share)))
+    return with_rank(df, "_rank", seed, *keys).withColumn("split", F.when(F.col("_rank") <= train, "train").otherwise("val")).drop("_rank")
 
 
 def fraction_ladder(df: DataFrame, fractions: Sequence[float], cap: int, seed: int, *keys: str) -> DataFrame:
     """SMP-09, SMP-11: nested samples of int(cap * fraction) rows, largest first, fractions once each."""
     ladder = sorted({f for f in fractions}, reverse=True)
     wide = exact_sample(df, int(cap * ladder[0]), seed, *keys) if ladder else df.limit(0)
-    place = F.row_number().over(Window.orderBy(sample_key(seed, *keys), *keys))  # over the sample only
-    ranked = wide.withColumn("_place", place)
     steps = F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(int(cap * f)).alias("sample_rows")) for f in ladder])
+    ranked = with_rank(wide, "_place", seed, *keys)
     return ranked.withColumn("_step", F.explode(steps)).where(F.col("_place") <= F.col("_step.sample_rows")).select(*df.columns, "_step.*")
 
 

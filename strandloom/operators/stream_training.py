@@ -87,7 +87,7 @@ def _epoch(train: DataFrame, w: Weights, shape: Shape, t: Training, epoch: int,
 
 
 def _validate(val: DataFrame, w: Weights, shape: Shape, t: Training) -> tuple[dict, int]:
-    """The mean of the batch losses and the active units, from sums of every task."""
+    """MDL-04: the mean of the batch losses and the active units in one pass, from sums of every task."""
     sent = val.sparkSession.sparkContext.broadcast(w)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

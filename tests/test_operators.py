@@ -340,6 +340,14 @@ def test_fit_learns_and_stops_early():
     assert len(stopped.history) < 50
 
 
+def test_mixed_precision_is_close():
+    shape = small_shape()
+    train, val = random_rows(300, shape), random_rows(60, shape, 1)
+    full, mixed = (model.fit(shape, train, val, model.Training(epochs=4, batch_size=64, mixed=m, hidden_dropout=0.2)) for m in (False, True))
+    assert mixed.weights["mu_w"].dtype == np.float64
+    assert np.allclose([h["val_total_loss"] for h in full.history], [h["val_total_loss"] for h in mixed.history], rtol=1e-3)
+
+
 def test_scores_and_saved_model(spark, tmp_path):
     shape = small_shape()
     cat, num, mask = random_rows(50, shape)
