@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import encoding, evaluation, latent, model, reduce, sampling, stream_training
 from ..session import cut_lineage
 from ..sources.tables import table
+from .records import SPECTRUM_SQL
 from .registry import observations, query
 from .variants import DEFAULT_FILTER, NUMERIC, ST, TM
 
@@ -114,9 +115,13 @@ def plane_and_labels(spark, folder):
     return reduce.label_by_centroid(plane, 8, 42, 2.5)
 
 
-@query()
+_KNOWN = r"regexp_matches(sbs96, '^[ACGT]\[[ACGT]>[ACGT]\][ACGT]$')"
+
+
+@query(f"""SELECT cluster_label, round(CAST(coalesce(sum(n) FILTER (WHERE contains(sbs96, 'C>T') AND {_KNOWN}), 0) AS DOUBLE), 4) AS transition,
+    round(CAST(coalesce(sum(n) FILTER (WHERE NOT contains(sbs96, 'C>T') AND {_KNOWN}), 0) AS DOUBLE), 4) AS other FROM ({SPECTRUM_SQL}) GROUP BY cluster_label""")
 def signature_activities(spark, folder):
-    """EXT-03: the spectra of all clusters on a user's table; here two plain signatures."""
+    """EXT-03: the spectra of all clusters on a user's table; here two plain signatures, for which the fit is the sum of their parts."""
     from ..functions.contexts import sbs96_labels
     from ..operators import labelled
 
@@ -131,4 +136,5 @@ def signature_activities(spark, folder):
             found = [reduce.signature_fit(np.array([dict(s).get(x, 0) for x in names], float), signatures) for s in part["s"]]
             yield pd.DataFrame({"cluster_label": part["cluster_label"], "transition": [f[0] for f in found], "other": [f[1] for f in found]})
 
-    return spectra.mapInPandas(solve, "cluster_label int, transition double, other double")
+    found = spectra.mapInPandas(solve, "cluster_label int, transition double, other double")
+    return found.withColumns({c: F.round(c, 4) for c in ("transition", "other")})

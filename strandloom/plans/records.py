@@ -58,7 +58,10 @@ def context_annotated_fraction(spark, folder):
     return named.select("cluster_label", "n", "ref_alt", "trinuc192", "sbs96", "cluster_size", F.round("fraction", 6).alias("fraction"))
 
 
-@query(f"SELECT cluster_label, sbs96, CAST(sum(n) AS BIGINT) AS n FROM (SELECT cluster_label, {_SBS_SQL} AS sbs96, n FROM ({_COUNTS_SQL})) WHERE sbs96 IS NOT NULL GROUP BY ALL")
+SPECTRUM_SQL = f"SELECT cluster_label, sbs96, CAST(sum(n) AS BIGINT) AS n FROM (SELECT cluster_label, {_SBS_SQL} AS sbs96, n FROM ({_COUNTS_SQL})) WHERE sbs96 IS NOT NULL GROUP BY ALL"
+
+
+@query(SPECTRUM_SQL)
 def sbs96_spectrum(spark, folder):
     """AGG-11."""
     return labelled.spectrum(labelled.context_counts(scored(spark, folder)))
@@ -293,6 +296,19 @@ def procrustes(spark, folder):
     return _one(spark, "procrustes_disparity", latent.procrustes(_pairs(spark, folder)))
 
 
+def _centred_sql(i, j):
+    return f"(sum({_L(i)} * {_L(j)}) - sum({_L(i)}) * sum({_L(j)}) / count(*))"
+
+
+@query(f"""SELECT round(1 - (xx + 2 * abs(det)) / (a * b), 6) AS procrustes_disparity FROM (SELECT {_centred_sql(0, 0)} + {_centred_sql(1, 1)} AS a, {_centred_sql(2, 2)} + {_centred_sql(3, 3)} AS b,
+    pow({_centred_sql(0, 2)}, 2) + pow({_centred_sql(0, 3)}, 2) + pow({_centred_sql(1, 2)}, 2) + pow({_centred_sql(1, 3)}, 2) AS xx,
+    {_centred_sql(0, 2)} * {_centred_sql(1, 3)} - {_centred_sql(0, 3)} * {_centred_sql(1, 2)} AS det FROM embedding)""")
+def procrustes_planes(spark, folder):
+    """CMP-01 on two planes, where the best rotation has a closed form."""
+    plane = lambda first: latent.wide_to_array(table(spark, folder, "embedding"), "row_index", "latent_", first, first + 2)
+    return _one(spark, "procrustes_disparity", latent.procrustes(latent.paired(plane(0), plane(2), "row_index")))
+
+
 def _vectors(spark, folder):
     half = lambda a, b: F.transform(F.slice("embedding", a, b), lambda v: v.cast("double"))
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), half(1, 16).alias("x"), half(17, 48).alias("y"))
