@@ -110,6 +110,12 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return report.where(F.col("shortfall") > 0).select("request_id", *CONTEXT)
 
 
+@query(f"SELECT request_id, ref_base, alt_base, x_prev1, x_next1, wanted, CAST(available AS BIGINT) AS available, CAST(greatest(wanted - available, 0) AS BIGINT) AS shortfall FROM ({_SUPPLY_SQL})")
+def p2_shortfalls(spark: SparkSession, folder: str) -> DataFrame:
+    """What every context wants, has and lacks in the drawn sample."""
+    return _proportions(spark, folder)[1].select("request_id", *CONTEXT, "wanted", "available", "shortfall")
+
+
 @query()
 def p2_proportional_sample(spark: SparkSession, folder: str) -> DataFrame:
     return _proportions(spark, folder)[0]
@@ -372,15 +378,15 @@ def _groups(spark: SparkSession, folder: str) -> clusters.Clustering:
 
 
 #: Spreads the names of records without a smaller neighbour over the links; the least one to arrive names the group.
-_FOUND3_SQL = f"""
+_NAMED3_SQL = f"""
     WITH RECURSIVE {_POINTS_SQL},
     e AS (SELECT a.run_id, a.row_index AS a, b.row_index AS b FROM p a JOIN p b ON a.run_id = b.run_id AND a.row_index <> b.row_index
           AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {REACH} * {REACH}),
     r AS (SELECT run_id, row_index AS root, row_index AS node FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.run_id = p.run_id AND e.a = p.row_index AND e.b < e.a)
           UNION SELECT r.run_id, r.root, e.b FROM r JOIN e ON r.run_id = e.run_id AND r.node = e.a),
     g AS (SELECT run_id, node, min(root) AS row_a FROM r GROUP BY ALL),
-    k AS (SELECT run_id, row_a FROM g GROUP BY ALL HAVING count(*) >= {LEAST_MEMBERS})
-    SELECT row_a, node AS row_b FROM g JOIN k USING (run_id, row_a) WHERE node <> row_a"""
+    k AS (SELECT run_id, row_a, count(*) AS size FROM g GROUP BY ALL HAVING count(*) >= {LEAST_MEMBERS})"""
+_FOUND3_SQL = f"{_NAMED3_SQL} SELECT row_a, node AS row_b FROM g JOIN k USING (run_id, row_a) WHERE node <> row_a"
 
 
 @query(_FOUND3_SQL)
@@ -390,6 +396,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return members.where(F.col("id") != F.col("cluster")).select(F.col("cluster").alias("row_a"), F.col("id").alias("row_b"))
 
 
+@query(f"{_NAMED3_SQL} SELECT run_id, row_a AS first_row, size FROM k")
+def p3_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return _groups(spark, folder).groups.withColumnsRenamed({"grp": "run_id", "cluster": "first_row"})
+
+
 @query()
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Each group with its size and most typical members."""
