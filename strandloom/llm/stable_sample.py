@@ -86,6 +86,8 @@ def stable_sample(df: DataFrame, number: str, seeds: DataFrame, chosen: int) ->
     held = held.select("_list", "_seeds", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     blocks = filled_blocks(df, number).select("*", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("_salt"))
     blocks = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(lists - 1).cast("bigint"))).alias("_list"))
+    # A number is given as the planner would put the few bytes of the blocks, from which much grows, into one task.
+    blocks, held = blocks.repartition(salts, "_list", "_salt"), held.repartition(salts, "_list", "_salt")
     # Far more rows come out than the planner expects of so few lists; they must not be broadcast.
     met = blocks.join(held.hint("shuffle_hash"), ["_list", "_salt"]).select("block", "filled", F.explode("_seeds").alias("seed"))
     drawn = positions(met, F.md5(F.concat_ws(":", F.col("seed").cast("string"), F.col("block").cast("string"))), chosen)
