@@ -121,7 +121,7 @@ def runs(cells: list[tuple[int, int, int, int, int, int]]) -> list[tuple[int, in
 def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, ranks: str | None = None) -> DataFrame:
     """``key``, ``piece``, ``n_pieces``, ``from_token``, ``n_tokens``, ``container``."""
     spark = df.sparkSession
-    counted = cut_lineage(token_counts(spread(df.select(F.col(key), F.col(text).alias("_text"))), "_text", ranks).select(F.col(key).alias("id"), "n_tokens"))
+    counted = cut_lineage(token_counts(spread(df.select(F.col(key), F.col(text).alias("_text"))), "_text", ranks).select(F.col(key).cast("string").alias("id"), "n_tokens"))  # as text: a null would make numbers inexact in pandas
     pieces = F.greatest(F.ceil(F.col("n_tokens") / capacity), F.lit(1)).cast("int")
     items = counted.withColumn("n_pieces", pieces).select("id", "n_pieces", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece"))
     items = items.withColumn("from_token", F.col("piece").cast("bigint") * capacity)
@@ -197,4 +197,4 @@ def pack(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, ranks: st
         placed += [here, there]
         left = aimed.where("container IS NULL").select(*fields)
         stuck = left.count() == number
-    return reduce(DataFrame.unionByName, placed).select(F.col("id").alias(key), "piece", "n_pieces", "from_token", F.col("size").alias("n_tokens"), "container")
+    return reduce(DataFrame.unionByName, placed).select(F.col("id").cast(df.schema[key].dataType).alias(key), "piece", "n_pieces", "from_token", F.col("size").alias("n_tokens"), "container")

@@ -92,6 +92,13 @@ def test_packing(spark, monkeypatch, wide):
     assert packing.pack(documents(spark, rows).limit(0), "doc", "text").count() == 0
 
 
+def test_large_ids_beside_a_null_stay_exact(spark):
+    big = 2**62 + 1
+    rows = [(big + i, "a b c") for i in range(5)] + [(None, "d e")]
+    got = packing.pack(documents(spark, rows), "doc", "text").collect()
+    assert {r["doc"] for r in got} == {None, *(big + i for i in range(5))}
+
+
 def test_a_hot_size_is_salted(spark, monkeypatch):
     monkeypatch.setattr(packing, "_RANGE", 100)
     got = packing.pack(documents(spark, [(i, "same words here") for i in range(1_000)]), "doc", "text", capacity=30).collect()
