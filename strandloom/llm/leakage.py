@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut_lineage, spread
 from .texts import words
 
 PASSAGE = 24
@@ -192,6 +192,8 @@ def leaked(documents: DataFrame, key: str, text: str, items: DataFrame, item_key
                 out = [(i, d, *rest) for d, t in zip(part[key], part[text]) for i, *rest in index.leaks(t)]
                 yield pd.DataFrame(out, columns=[item_key, key, "first_word", "n_words", "edits"])
 
-        found = rows.mapInPandas(search, schema)
+        # What a block finds is written at once, so the workers and the driver hold one block at a time.
+        found = cut_lineage(rows.mapInPandas(search, schema))
+        sent.destroy()
         pairs = found if pairs is None else pairs.unionByName(found)
     return pairs.dropDuplicates([item_key, key])
