@@ -253,6 +253,44 @@ def test_leaf_of_many_templates(monkeypatch):
     assert sum(t[1] for leaf in tree.leaves.values() for t in leaf) == 200
 
 
+def test_every_template_of_a_large_leaf_is_compared():
+    """A wording joins the template that it agrees with, however many came before."""
+    rng = random.Random(1)
+    tree, words = residue.Tree(), lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    firsts = [[*"the same six words go first".split(), *words(12)] for _ in range(2 * residue.COMPARED)]
+    for last in ("one", "two", "three"):
+        for first in firsts:
+            tree.add([*first[:-1], last])
+    (leaf,) = tree.leaves.values()
+    assert [t[1] for t in leaf] == [3] * len(firsts) and all(t[0][-1] == residue.WILD for t in leaf)
+
+
+def test_index_of_a_leaf_equals_a_scan(monkeypatch):
+    for seed in range(60):
+        rng, trees = random.Random(seed), []
+        length, kinds = rng.randint(1, 20), rng.choice([2, 5, 30])
+        shape = [rng.choice(("same", "word", f"n{i}-")) for i in range(length)]
+        rows = [[residue.WILD if rng.random() < 0.03 else s if s == "same" or i < 4 and s == "word" else f"{s}{rng.randint(0, kinds)}" for i, s in enumerate(shape)] for _ in range(150)]
+        for compared in (10**9, rng.randint(0, 20)):
+            monkeypatch.setattr(residue, "COMPARED", compared)
+            trees.append(residue.Tree())
+            for n, row in enumerate(rows):
+                trees[-1].add(row, n, 1)
+        assert trees[0].leaves == trees[1].leaves, seed
+
+
+def test_a_message_recurs_in_a_large_leaf(spark):
+    """Three wordings of a notice are one template after hundreds of others with the same first words."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("bcdfghklmnprstv", k=9))
+    many = [" ".join(word() for _ in range(5)) for _ in range(residue.COMPARED + 50)]
+    few = [f"zulu yankee whisky victor {day}" for day in ("Friday", "Monday", "Tuesday")]
+    rows = [(i, f"The first result stands.\nThe description of these loci in {t} is pending.\nThe next one follows.") for i, t in enumerate([*many, *few])]
+    assert {r["doc"] for r in residue.residue(documents(spark, rows), "doc", "text").collect()} == set(range(len(many), len(rows)))
+    got = residue.templates(residue.mined(documents(spark, rows), "doc", "text", everything=True)).where("verdict = 'filler'").collect()
+    assert [r["merged"] for r in got] == ["The description of these loci in zulu yankee whisky victor <*> is pending."] * 3
+
+
 def test_templates_of_everything(spark):
     rows = [(i, f"Error {i}: disk {i} failed. Access denied.") for i in range(30)]
     found = {}
