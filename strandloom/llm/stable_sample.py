@@ -32,7 +32,10 @@ _LISTED = 64
 
 
 def _keys(digest: Column) -> list[Column]:
-    return [F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("int").alias(f"_k{i}") for i in range(6)]
+    """Six numbers of 16 bits from the first 24 digits, read in two halves."""
+    # Never null: of nullable keys the planner demands that they be set, below the explosion, and there takes the digest again for each.
+    halves = [F.coalesce(F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("bigint"), F.lit(0).cast("bigint")) for i in range(2)]
+    return [F.shiftright(halves[i // 3], 32 - 16 * (i % 3)).bitwiseAND(F.lit(65_535).cast("bigint")).cast("int").alias(f"_k{i}") for i in range(6)]
 
 
 def positions(df: DataFrame, digest: Column, chosen: int) -> DataFrame:

@@ -1,7 +1,9 @@
 """Problems 1, 2, 4, 5 and 6 against brute force and at their edges."""
 
+import hashlib
 import math
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -221,3 +223,19 @@ def test_stable_sample_of_scattered_ids(spark):
     some = stable_sample.stable_sample(df.where("row < 10"), "row", seeds, 512).collect()
     assert {(r["seed"], r["row"]) for r in some} == {(s, r) for s, r in got if r < 10}
     assert abs(len(got) / (150 * len(ids)) - 0.5) < 0.06
+
+
+def test_digest_is_taken_once_a_block(spark):
+    seeds = spark.createDataFrame([(7,), (2**31 - 1,), (-4,)], "seed int")
+    got = stable_sample.stable_sample(spark.range(3_000), "id", seeds, 8)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    want = set()
+    for seed, block, j in product((7, 2**31 - 1, -4), range(3), range(8)):
+        digest = hashlib.md5(f"{seed}:{block}".encode()).hexdigest()
+        k = [int(digest[4 * i : 4 * i + 4], 16) for i in range(6)]
+        for i in (0, 2, 4):
+            j = (j * (2 * k[i] + 1) + k[i + 1]) % stable_sample.BLOCK
+            j ^= (j >> stable_sample.BITS // 2) * (i < 4)
+        want |= {(seed, block * stable_sample.BLOCK + j)} if block * stable_sample.BLOCK + j < 3_000 else set()
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
